@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
+    "bind",
     "array_intersection",
     "argmax",
     "pad_array",
@@ -16,9 +19,18 @@ __all__ = [
 ]
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it inside ``body``.
+
+    A column used in a lambda would otherwise be computed again for every item
+    when the optimizer merges the projections.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def array_intersection(left: Column, right: Column) -> Column:
     """Items of ``left`` found in ``right``: order of ``left``, duplicates kept."""
-    return F.filter(left, lambda x: F.array_contains(right, x))
+    return bind(right, lambda known: F.filter(left, lambda x: F.array_contains(known, x)))
 
 
 def argmax(scores: Column) -> Column:
@@ -39,7 +51,12 @@ def attention_mask(ids: Column, pad_id: int) -> Column:
 
 def mask_prefix(ids: Column, length: Column, ignore: int) -> Column:
     """``ids`` with the first ``length`` items replaced by ``ignore``."""
-    return F.transform(ids, lambda x, i: F.when(i < length, F.lit(ignore)).otherwise(x))
+    return bind(
+        F.least(length, F.size(ids)),
+        lambda n: F.concat(
+            F.array_repeat(F.lit(ignore).cast("bigint"), n), F.slice(ids, n + 1, F.size(ids))
+        ),
+    )
 
 
 def chunk_array(values: Column, size: int) -> Column:

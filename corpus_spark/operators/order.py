@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpus_spark.constants import SHUFFLE_SEED
+from corpus_spark.functions.arrays import bind
 from corpus_spark.session import materialize
 
 __all__ = [
@@ -137,15 +138,16 @@ def _with_bucket(
     row = table.select(F.struct("coarse", "fine", "base").alias("row")).scalar()
     key = F.struct(*[F.col(n) for n in names])
     df = df.withColumn("_points", row)
-    df = df.withColumn(
-        "_from",
-        F.greatest(F.size(F.filter("_points.coarse", lambda b: b <= key)) - 1, F.lit(0)) * width,
-    )
-    window = F.slice(F.col("_points.fine"), F.col("_from") + 1, F.lit(width))
-    df = df.withColumn("_bucket", F.col("_from") + F.size(F.filter(window, lambda b: b <= key)))
+    coarse = F.size(F.filter("_points.coarse", lambda b: b <= key))
+
+    def refined(start: Column) -> Column:
+        near = F.slice(F.col("_points.fine"), start + 1, F.lit(width))
+        return start + F.size(F.filter(near, lambda b: b <= key))
+
+    df = df.withColumn("_bucket", bind(F.greatest(coarse - 1, F.lit(0)) * width, refined))
     if base is not None:
         df = df.withColumn("_base", F.get(F.col("_points.base"), F.col("_bucket")))
-    return df.drop("_points", "_from")
+    return df.drop("_points")
 
 
 def _ranges(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpus_spark.constants import IGNORE_INDEX, MAP_BATCH_ROWS, MAX_DEFAULT_BLOCK
-from corpus_spark.functions.arrays import attention_mask, pad_array
+from corpus_spark.functions.arrays import attention_mask, bind, pad_array
 from corpus_spark.operators.order import OrderBy, positions, shuffle_key
 
 __all__ = [
@@ -90,11 +90,9 @@ def _pack(
         *[F.max(c).alias(c) for c in carried],
     )
 
-    def joined(column: str) -> Column:
-        return F.flatten(F.transform("_pieces", lambda p: p[column])).alias(column)
-
     packed = packed.select(
-        *[c for c in group if c != "_bucket"], "block", *carried, *[joined(c) for c in columns]
+        *[c for c in group if c != "_bucket"], "block", *carried,
+        *[F.flatten(f"_pieces.{c}").alias(c) for c in columns],
     )
     full = F.size(columns[0]) == block
     return packed.where(full | (F.col("block") == 0) if keep_short else full)
@@ -195,7 +193,7 @@ def assemble_batches(
     return grouped.select(
         "batch",
         F.size("_rows").alias("n_rows"),
-        *[F.transform("_rows", lambda r, c=c: r[c]).alias(c) for c in columns],
+        *[F.col(f"_rows.{c}").alias(c) for c in columns],
     )
 
 
@@ -215,11 +213,14 @@ def pad_batches(
 
     ``mask_of`` adds ``attention_mask`` for that column.
     """
-    padded = {
-        c: F.transform(F.col(c), lambda x, c=c, f=fill: pad_array(x, _longest(F.col(c)), f))
-        for c, fill in fills.items()
-    }
-    batches = batches.withColumns(padded)
+
+    def padded(column: str, fill: int) -> Column:
+        return bind(
+            _longest(F.col(column)),
+            lambda n: F.transform(column, lambda x: pad_array(x, n, fill)),
+        )
+
+    batches = batches.withColumns({c: padded(c, fill) for c, fill in fills.items()})
     if mask_of is not None:
         pad_id = fills[mask_of]
         masks = F.transform(mask_of, lambda x: attention_mask(x, pad_id))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpus_spark.functions.arrays import bind
+
 __all__ = ["mean_pool", "mean_vector", "impute_mean_vectors"]
 
 
@@ -40,11 +42,8 @@ def mean_pool(
     if not normalize:
         return pooled
     squares = F.aggregate(out, F.lit(0.0), lambda a, x: a + x * x)
-    return (
-        pooled.withColumn("_norm", F.greatest(F.sqrt(squares), F.lit(1e-12)))
-        .withColumn(out, F.transform(out, lambda x: x / F.col("_norm")))
-        .drop("_norm")
-    )
+    norm = F.greatest(F.sqrt(squares), F.lit(1e-12))
+    return pooled.withColumn(out, bind(norm, lambda n: F.transform(out, lambda x: x / n)))
 
 
 def mean_vector(df: DataFrame, vector: str, out: str = "vector") -> DataFrame:
