@@ -12,7 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpus_spark.constants import RATIO_EXAMPLES
-from corpus_spark.operators.order import OrderBy, exact_quantiles, head_n, running_sums
+from corpus_spark.operators.order import (
+    OrderBy,
+    head_n,
+    quantiles_of_counts,
+    running_sums,
+    value_counts,
+)
 
 __all__ = [
     "row_counts",
@@ -192,11 +198,14 @@ def effective_samples(df: DataFrame, limits: Mapping[str, int], split: str = "sp
 
 def mean_and_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, mean, median); the median is exact and interpolated."""
+    counts = value_counts(df, columns)
     result = None
     for column in columns:
-        mean = df.agg(F.avg(column).alias("mean"))
-        middle = exact_quantiles(df, column, [0.5]).select("value").scalar()
-        row = mean.select(F.lit(column).alias("column"), "mean", middle.alias("median"))
+        one = counts.where(F.col("column") == column)
+        middle = quantiles_of_counts(one, [0.5]).select("value").scalar()
+        row = one.agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean")).select(
+            F.lit(column).alias("column"), "mean", middle.alias("median")
+        )
         result = row if result is None else result.unionByName(row)
     return result
 
@@ -204,15 +213,15 @@ def mean_and_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def length_report(
     df: DataFrame, column: str, quantiles: Sequence[float] = (0.5, 0.9, 0.99)
 ) -> DataFrame:
-    """(statistic, value) of the lengths of an array column."""
-    lengths = df.select(F.size(column).alias("size"))
-    wide = lengths.agg(
-        F.count("*").alias("rows"),
-        F.min("size").alias("min"),
-        F.avg("size").alias("mean"),
-        F.max("size").alias("max"),
+    """(metric, value) of the lengths of an array column, from one pass over it."""
+    counts = value_counts(df.select(F.size(column).alias("size")), ["size"])
+    wide = counts.agg(
+        F.sum("n").alias("rows"),
+        F.min("value").alias("min"),
+        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.max("value").alias("max"),
     )
-    marks = exact_quantiles(lengths, "size", quantiles).select(
+    marks = quantiles_of_counts(counts, quantiles).select(
         F.concat(F.lit("p"), F.round(F.col("quantile") * 100).cast("int")).alias("metric"), "value"
     )
     return _tall(wide).unionByName(marks)

@@ -40,6 +40,8 @@ __all__ = [
     "balance_two",
     "balance",
     "group_counts",
+    "value_counts",
+    "quantiles_of_counts",
     "exact_quantiles",
 ]
 
@@ -463,45 +465,62 @@ def balance(
 # --- order statistics ------------------------------------------------------
 
 
-def exact_quantiles(
-    df: DataFrame, column: str, quantiles: Sequence[float], bucket_rows: int | None = None
-) -> DataFrame:
-    """Exact quantiles with linear interpolation: rows (quantile, value).
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Written rows (column, value, n) of the non-NULL values, in one pass.
 
-    Values are counted first, so repeated values are combined before they move.
+    Equal values are combined before they move.
     """
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
+    ]
     counts = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("value"))
+        df.select(F.explode(F.array(*cells)).alias("c"))
+        .where(F.col("c.value").isNotNull())
+        .groupBy("c.column", "c.value")
         .agg(F.count("*").alias("n"))
     )
-    running = materialize(running_sums(counts, "value", ["n"], bucket_rows=bucket_rows), "counts")
+    return materialize(counts, "counts")
+
+
+def quantiles_of_counts(
+    counts: DataFrame, quantiles: Sequence[float], bucket_rows: int | None = None
+) -> DataFrame:
+    """Exact quantiles, interpolated, of a table (value, n): rows (quantile, value)."""
+    running = materialize(
+        running_sums(counts.select("value", "n"), "value", ["n"], bucket_rows=bucket_rows), "counts"
+    )
     rows = running.agg(F.max("n_cum")).first()[0] or 0
     if rows == 0:
-        return df.sparkSession.createDataFrame([], "quantile double, value double")
+        return counts.sparkSession.createDataFrame([], "quantile double, value double")
     targets = []
     for q in quantiles:
         place = q * (rows - 1)
-        targets.append((float(q), math.floor(place), math.ceil(place), place - math.floor(place)))
-    wanted = F.array(
-        *[
+        low = math.floor(place)
+        targets.append(
             F.struct(
-                F.lit(q).alias("quantile"),
-                F.lit(lo).cast("bigint").alias("lo"),
-                F.lit(hi).cast("bigint").alias("hi"),
-                F.lit(part).alias("part"),
+                F.lit(float(q)).alias("quantile"),
+                F.lit(low).cast("bigint").alias("lo"),
+                F.lit(math.ceil(place)).cast("bigint").alias("hi"),
+                F.lit(place - low).alias("part"),
             )
-            for q, lo, hi, part in targets
-        ]
-    )
+        )
     before = F.col("n_cum") - F.col("n")
     hits = running.select(
-        F.col("value").cast("double").alias("value"),
+        "value",
         F.explode(
-            F.filter(wanted, lambda t: (t["hi"] >= before) & (t["lo"] < F.col("n_cum")))
+            F.filter(
+                F.array(*targets), lambda t: (t["hi"] >= before) & (t["lo"] < F.col("n_cum"))
+            )
         ).alias("t"),
     )
     low, high = F.min("value"), F.max("value")
     return hits.groupBy("t.quantile", "t.part").agg(
         (low + (high - low) * F.col("part")).alias("value")
     ).select("quantile", "value")
+
+
+def exact_quantiles(
+    df: DataFrame, column: str, quantiles: Sequence[float], bucket_rows: int | None = None
+) -> DataFrame:
+    """Exact quantiles of a numeric column with linear interpolation."""
+    return quantiles_of_counts(value_counts(df, [column]), quantiles, bucket_rows)

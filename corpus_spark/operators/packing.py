@@ -30,6 +30,10 @@ __all__ = [
 ]
 
 
+# Rows here hold whole documents, so ranges are shorter than for narrow tables.
+BUCKET_ROWS = 1_000
+
+
 def resolve_block_size(block_size: int | None, model_max: int) -> int:
     """The wanted block, at most the model's; by default the model's up to 1024."""
     if block_size is None:
@@ -42,7 +46,7 @@ def _placed(
 ) -> DataFrame:
     placed = positions(
         df, order_by, within=split, align=batch_rows, name="_pos",
-        keep_bucket=True, bucket_rows=bucket_rows,
+        keep_bucket=True, bucket_rows=bucket_rows or BUCKET_ROWS,
     )
     return placed.withColumn("batch", F.expr(f"_pos div {batch_rows}"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpus_spark.constants import IGNORE_INDEX, PAD_ID, SPECIAL_TOKENS, UNK_ID
 from corpus_spark.functions.arrays import mask_prefix
 from corpus_spark.functions.text import tokens
-from corpus_spark.operators.order import head_n, positions
+from corpus_spark.operators.order import positions
 from corpus_spark.session import materialize
 
 __all__ = [
@@ -60,18 +60,35 @@ def build_vocab(
         .where((F.col("n") >= min_count) & ~F.col("token").isin(specials))
     )
     counts = materialize(counts, "token-counts")
-    order = [-F.col("n"), F.col("token")]
-    if max_size is not None:
-        counts = head_n(counts, max(max_size - len(specials), 0), order)
-    learnt = positions(counts, order, name="id").select(
-        "token", (F.col("id") + len(specials)).alias("id"), "n"
-    )
+    room = None if max_size is None else max(max_size - len(specials), 0)
+    if room is not None:
+        counts = _frequent(counts, room)
+    learnt = positions(counts, [-F.col("n"), F.col("token")], name="id")
+    if room is not None:
+        learnt = learnt.where(F.col("id") < room)
+    learnt = learnt.select("token", (F.col("id") + len(specials)).alias("id"), "n")
     fixed = df.sparkSession.createDataFrame(
         [(token, i, 0) for i, token in enumerate(specials)], "token string, id bigint, n bigint"
     )
     return materialize(fixed.unionByName(learnt), "vocabulary")
 
 
+def _frequent(counts: DataFrame, room: int) -> DataFrame:
+    """Drop the rare tokens that cannot be among the first ``room``.
+
+    One count per power of two of the frequency, at most 64 rows, gives a lower
+    bound of the frequency; ties and order are settled afterwards.
+    """
+    octave = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    sizes = counts.groupBy(octave.alias("octave")).agg(F.count("*").alias("size")).collect()
+    total, lowest = 0, 0
+    for row in sorted(sizes, reverse=True):
+        total, lowest = total + row["size"], row["octave"]
+        if total >= room:
+            break
+    return counts.where(octave >= lowest)
+
+
 def ensure_specials(
     vocab: DataFrame,
     roles: Sequence[tuple[str, str]] = SPECIAL_TOKENS,
@@ -129,7 +146,8 @@ def lookup_list(
 ) -> DataFrame:
     """Replace every item of an array through a (key, value) table with dense ids.
 
-    ``row_key`` is needed only for a table with more than ``head_entries`` ids.
+    ``row_key`` is needed only for a table with more than ``head_entries`` ids:
+    the items that the probe misses are then joined and put back by position.
     """
     head_entries = head_entries or HEAD_ENTRIES
     tail = table.where(F.col("id") >= head_entries)
@@ -147,32 +165,30 @@ def lookup_list(
 
     mapped = mapped.withColumn("_items", items).withColumn("_found", F.transform("_items", probe))
     mapped = mapped.drop("_lookup")
-    open_rows = mapped.where(F.exists("_found", lambda x: x.isNull()))
-    spread = open_rows.select(
-        *row_key,
-        F.posexplode(F.arrays_zip(F.col("_items").alias("item"), F.col("_found").alias("hit"))),
-    ).select(*row_key, "pos", F.col("col.item").alias("item"), F.col("col.hit").alias("hit"))
-    hits = spread.where(F.col("hit").isNotNull()).select(*row_key, "pos", "hit")
+
+    def numbered(keep: Callable[[Column], Column], field: str) -> Column:
+        rows = F.transform(field, lambda x, i: F.struct(i.alias("pos"), x.alias("hit")))
+        return F.filter(rows, lambda r: keep(F.get(F.col("_found"), r["pos"])))
+
+    misses = mapped.select(
+        *row_key, F.explode(numbered(lambda hit: hit.isNull(), "_items")).alias("miss")
+    ).select(*row_key, "miss.pos", F.col("miss.hit").alias("item"))
     salts = F.array(*[F.lit(i) for i in range(TAIL_SALTS)])
     salted = tail.select(
         F.col(key).alias("item"), F.col(value).alias("late"), F.explode(salts).alias("salt")
     )
     salt = F.pmod(F.xxhash64(*row_key, "pos"), F.lit(TAIL_SALTS)).cast("int")
-    misses = (
-        spread.where(F.col("hit").isNull())
-        .withColumn("salt", salt)
+    late = (
+        misses.withColumn("salt", salt)
         .join(salted, ["item", "salt"], "left")
-        .select(*row_key, "pos", F.coalesce("late", default).alias("hit"))
-    )
-    rebuilt = (
-        hits.unionByName(misses)
         .groupBy(*row_key)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "hit"))).alias("_rows"))
-        .select(*row_key, F.transform("_rows", lambda r: r["hit"]).alias("_late"))
+        .agg(F.collect_list(F.struct("pos", F.coalesce("late", default).alias("hit"))).alias("_late"))
     )
+    known = numbered(lambda hit: hit.isNotNull(), "_found")
+    merged = F.transform(F.array_sort(F.concat(known, F.col("_late"))), lambda r: r["hit"])
     return (
-        mapped.join(rebuilt, list(row_key), "left")
-        .withColumn(out, F.coalesce("_late", "_found"))
+        mapped.join(late, list(row_key), "left")
+        .withColumn(out, F.when(F.col("_late").isNull(), F.col("_found")).otherwise(merged))
         .drop("_items", "_found", "_late")
     )
 
