@@ -61,11 +61,13 @@ def mask_prefix(ids: Column, length: Column, ignore: int) -> Column:
 
 def chunk_array(values: Column, size: int) -> Column:
     """Cut an array into consecutive pieces of ``size``; the last may be shorter."""
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / size) - 1, F.lit(0)).cast("int")),
-        lambda i: F.slice(values, i * size + 1, size),
-    )
-    return F.when(F.size(values) == 0, F.slice(pieces, 1, 0)).otherwise(pieces)
+
+    def cut(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(size))
+        pieces = F.transform(starts, lambda i: F.slice(v, i, F.lit(size)))
+        return F.filter(pieces, lambda p: F.size(p) > 0)
+
+    return bind(values, cut)
 
 
 def join_ids(ids: Column, sep: str = " ") -> Column:

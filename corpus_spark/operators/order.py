@@ -48,6 +48,7 @@ __all__ = [
 OrderBy = str | Column | Sequence[str | Column]
 
 BUCKET_ROWS = 50_000
+NARROW_BUCKET_ROWS = 500_000
 MAX_BUCKETS = 65_536
 SAMPLE_PER_BUCKET = 16
 SORT_LIMIT = 32
@@ -245,7 +246,7 @@ def running_sums(
     values = list(values)
     keyed, names, _ = _with_keys(df, order_by, None)
     keyed = materialize(keyed, "running")
-    ranges, _, _ = _ranges(keyed, names, 0, values, bucket_rows or BUCKET_ROWS)
+    ranges, _, _ = _ranges(keyed, names, 0, values, bucket_rows or NARROW_BUCKET_ROWS)
     located = _with_bucket(keyed, names, ranges.bounds, ranges.base)
     window = (
         Window.partitionBy("_bucket")
@@ -267,7 +268,7 @@ def _keys_at(keys: DataFrame, names: list[str], wanted: Sequence[int], bucket_ro
     wanted = sorted(set(wanted))
     if not wanted:
         return {}
-    ranges, _, _ = _ranges(keys, names, 0, None, bucket_rows or BUCKET_ROWS)
+    ranges, _, _ = _ranges(keys, names, 0, None, bucket_rows or NARROW_BUCKET_ROWS)
     first = [b[0] for b in ranges.base]
     needed = {max(i for i, start in enumerate(first) if start <= p) for p in wanted}
     near = _with_bucket(keys, names, ranges.bounds).where(F.col("_bucket").isin(sorted(needed)))

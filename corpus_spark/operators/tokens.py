@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpus_spark.constants import IGNORE_INDEX, PAD_ID, SPECIAL_TOKENS, UNK_ID
 from corpus_spark.functions.arrays import mask_prefix
 from corpus_spark.functions.text import tokens
-from corpus_spark.operators.order import positions
+from corpus_spark.operators.order import NARROW_BUCKET_ROWS, positions
 from corpus_spark.session import materialize
 
 __all__ = [
@@ -32,7 +32,7 @@ __all__ = [
 
 HEAD_ENTRIES = 131_072
 LOOKUP_SLOTS = 32_768
-TAIL_SALTS = 16
+TAIL_SALTS = 8
 
 
 def special_names(roles: Sequence[tuple[str, str]] = SPECIAL_TOKENS) -> list[str]:
@@ -63,7 +63,7 @@ def build_vocab(
     room = None if max_size is None else max(max_size - len(specials), 0)
     if room is not None:
         counts = _frequent(counts, room)
-    learnt = positions(counts, [-F.col("n"), F.col("token")], name="id")
+    learnt = positions(counts, [-F.col("n"), F.col("token")], name="id", bucket_rows=NARROW_BUCKET_ROWS)
     if room is not None:
         learnt = learnt.where(F.col("id") < room)
     learnt = learnt.select("token", (F.col("id") + len(specials)).alias("id"), "n")
@@ -166,13 +166,17 @@ def lookup_list(
     mapped = mapped.withColumn("_items", items).withColumn("_found", F.transform("_items", probe))
     mapped = mapped.drop("_lookup")
 
-    def numbered(keep: Callable[[Column], Column], field: str) -> Column:
-        rows = F.transform(field, lambda x, i: F.struct(i.alias("pos"), x.alias("hit")))
-        return F.filter(rows, lambda r: keep(F.get(F.col("_found"), r["pos"])))
+    # Too large to broadcast, whatever the estimate behind the salts says: merge join.
 
+    paired = F.zip_with(
+        "_items", "_found", lambda item, hit: F.struct(item.alias("item"), hit.alias("hit"))
+    )
+    placed = F.transform(
+        paired, lambda x, i: F.struct(i.alias("pos"), x["item"].alias("item"), x["hit"].alias("hit"))
+    )
     misses = mapped.select(
-        *row_key, F.explode(numbered(lambda hit: hit.isNull(), "_items")).alias("miss")
-    ).select(*row_key, "miss.pos", F.col("miss.hit").alias("item"))
+        *row_key, F.explode(F.filter(placed, lambda r: r["hit"].isNull())).alias("miss")
+    ).select(*row_key, "miss.pos", "miss.item")
     salts = F.array(*[F.lit(i) for i in range(TAIL_SALTS)])
     salted = tail.select(
         F.col(key).alias("item"), F.col(value).alias("late"), F.explode(salts).alias("salt")
@@ -180,11 +184,14 @@ def lookup_list(
     salt = F.pmod(F.xxhash64(*row_key, "pos"), F.lit(TAIL_SALTS)).cast("int")
     late = (
         misses.withColumn("salt", salt)
-        .join(salted, ["item", "salt"], "left")
+        .join(salted.hint("merge"), ["item", "salt"], "left")
         .groupBy(*row_key)
         .agg(F.collect_list(F.struct("pos", F.coalesce("late", default).alias("hit"))).alias("_late"))
     )
-    known = numbered(lambda hit: hit.isNotNull(), "_found")
+    known = F.filter(
+        F.transform("_found", lambda x, i: F.struct(i.alias("pos"), x.alias("hit"))),
+        lambda r: r["hit"].isNotNull(),
+    )
     merged = F.transform(F.array_sort(F.concat(known, F.col("_late"))), lambda r: r["hit"])
     return (
         mapped.join(late, list(row_key), "left")

@@ -31,21 +31,35 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of this machine.
+    A folder set on the context counts too. Only a local session may fall back
+    to a temporary folder of this machine.
     """
-    root = spark.conf.get(SCRATCH_CONF, None)
+    context = spark.sparkContext
+    root = spark.conf.get(SCRATCH_CONF, None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {SCRATCH_CONF} to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="corpus_spark-")
-    spark.conf.set(SCRATCH_CONF, root)
-    return root
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="corpus_spark-"))
+    return context.getCheckpointDir()
+
+
+def _scratch_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/corpus_spark/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{scratch_root(spark)}/corpus_spark/{label}-{uuid.uuid4().hex}"
+    return f"{_scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Delete what this application wrote below the shared folder.
+
+    Call it at the end of a job, when no table built on it is needed any more.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
