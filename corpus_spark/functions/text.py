@@ -15,6 +15,7 @@ from corpus_spark.constants import (
     PIPE_SOURCE,
     SEPARATORS,
 )
+from corpus_spark.functions.arrays import bind
 
 __all__ = [
     "words",
@@ -119,12 +120,9 @@ def repack(
         tried.insert(0, PIPE_SEPARATOR)
     if not tried:
         return text
-    present = [F.contains(text, F.lit(sep)) for sep in tried]
-    segments = F.when(present[0], literal_split(text, tried[0]))
-    any_present = present[0]
-    for found, sep in zip(present[1:], tried[1:]):
-        segments = segments.when(found, literal_split(text, sep))
-        any_present = any_present | found
+    segments = F
+    for sep in tried:
+        segments = segments.when(F.contains(text, F.lit(sep)), literal_split(text, sep))
 
     limit = F.lit(max_length)
     start = F.struct(F.lit(None).cast("string").alias("kept"), F.lit(False).alias("full"))
@@ -145,9 +143,14 @@ def repack(
             )
         )
 
-    fitting = F.filter(segments, lambda s: F.length(s) <= limit)
-    folded = F.aggregate(fitting, start, step, lambda state: state["kept"])
-    return F.when(any_present, folded).otherwise(text)
+    def join_fitting(parts: Column) -> Column:
+        # Every kept part after the first adds at least its line break.
+        fitting = F.slice(F.filter(parts, lambda s: F.length(s) <= limit), 1, max_length + 1)
+        return F.when(parts.isNull(), text).otherwise(
+            F.aggregate(fitting, start, step, lambda state: state["kept"])
+        )
+
+    return bind(segments, join_fitting)
 
 
 def fits(text: Column, max_length: int = INPUT_MAX_LENGTH) -> Column:
