@@ -36,9 +36,9 @@ from corpus_spark.constants import (
 )
 from corpus_spark.functions import (
     array_intersection,
+    chunk_array,
     extract_answer,
     fill_template,
-    join_ids,
     text_length,
     text_size as count_words,
     words,
@@ -268,6 +268,18 @@ def stream_clean(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows").select("doc_id", "input", "instruction", "output")
 
 
+@query(
+    f"""WITH w AS (SELECT doc_id, {sql_words('text')} AS l FROM documents),
+    n AS (SELECT doc_id, l, unnest(range((len(l) + 15) // 16)) AS piece FROM w)
+    SELECT doc_id, piece::INTEGER AS piece, array_to_string(l[piece * 16 + 1 : piece * 16 + 16], ' ') AS words FROM n"""
+)
+def word_chunks(spark, sf_dir):
+    pieces = chunk_array(words(F.col("text")), 16)
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.posexplode(pieces).alias("piece", "words")
+    ).withColumn("words", F.array_join("words", " "))
+
+
 # --- order, samples and splits ---------------------------------------------
 
 
@@ -344,6 +356,18 @@ def two_source_balance(spark, sf_dir):
     return clean_two_sources(other, english, "doc_id")
 
 
+ZOOM_SQL = TWO_SOURCES_SQL.replace(
+    "FROM documents WHERE lang <> 'en')", "FROM documents WHERE lang <> 'en' ORDER BY doc_id LIMIT 50)"
+).replace("r <= na)", "r <= 2 * na)")
+
+
+@query(f"WITH {ZOOM_SQL}, {sql_split('s', 'both_', ('source', 'doc_id'))} SELECT * FROM s")
+def two_source_zoom(spark, sf_dir):
+    """At most 50 rows of the first source and twice as many of the second."""
+    other, english = _by_language(spark, sf_dir)
+    return clean_two_sources(other, english, "doc_id", number=50, zoom=2)
+
+
 MERGED_SQL = """
 merged AS (
   SELECT 0 AS source, doc_id AS id, text, 0 AS labels FROM documents
@@ -382,6 +406,18 @@ def prompt_merge_split(spark, sf_dir):
     )
 
 
+@query(
+    f"""WITH {PROMPT_SQL},
+    t AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY {sql_shuffle(5, 'source', 'doc_id')}, source, doc_id) AS rn
+          FROM s)
+    SELECT * EXCLUDE (rn) FROM t WHERE rn <= CASE split WHEN 'train' THEN 120 ELSE 60 END"""
+)
+def prompt_merge_trim(spark, sf_dir):
+    return prompt_merge_and_split(
+        _by_language(spark, sf_dir), "doc_id", separators=DOC_SEPARATORS, train_length=120
+    )
+
+
 @query(f"WITH {PROMPT_SQL} SELECT split, output, count(*) AS n FROM s GROUP BY split, output")
 def prompt_split_counts(spark, sf_dir):
     """The flagship: clean, label, shuffle and split two sources, then count."""

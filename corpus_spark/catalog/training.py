@@ -17,6 +17,7 @@ from corpus_spark.catalog.registry import (
     sql_join,
     sql_mask,
     sql_pad,
+    sql_shuffle,
     sql_split,
     sql_template,
     sql_vocab,
@@ -303,6 +304,17 @@ def batch_assembly(spark, sf_dir):
     )
 
 
+@query(
+    f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY {sql_shuffle(7, 'event_id')}, event_id) - 1 AS p FROM events)
+    SELECT p // 64 AS batch, count(*)::INTEGER AS n_rows, string_agg(event_id::VARCHAR, ' ' ORDER BY p) AS event_ids
+    FROM r GROUP BY ALL"""
+)
+def batch_shuffled(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id")
+    batches = P.assemble_batches(events, ["event_id"], 64, "event_id", shuffle_seed=7)
+    return _text_columns(batches, "event_id").withColumnRenamed("event_id", "event_ids")
+
+
 TURN_BATCHES_SQL = f"""
 {TURNS_SQL}, {sql_vocab(TURN_TEXTS, VOCAB_SIZE)},
 {sql_encode('enc', 'turns', 'rid', 'text', 'ids')},
@@ -404,6 +416,28 @@ def sft_rows(spark, sf_dir):
     return _text_columns(data, "input_ids", "labels")
 
 
+@query(
+    f"""WITH {LABELLED_SQL},
+    st AS (SELECT doc_id, {PROMPT_SQL} AS sources, {PROMPT_SQL} || quality || '</s>' AS whole FROM labelled),
+    {sql_vocab('SELECT text FROM labelled', VOCAB_SIZE)},
+    {sql_encode('e1', 'st', 'doc_id', 'whole', 'ids', 256, specials=True)},
+    {sql_encode('e2', 'e1', 'doc_id', 'sources', 'src', 256, specials=True)},
+    lab AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 4 AS batch,
+      list_transform(ids, lambda x, i: CASE WHEN i <= len(src) THEN -100 ELSE x END) AS lab FROM e2),
+    siz AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS long_ FROM lab)
+    SELECT batch, string_agg({sql_join(sql_pad('ids', 'long_', 0))}, '|' ORDER BY doc_id) AS input_ids,
+      string_agg({sql_join(sql_pad('lab', 'long_', -100))}, '|' ORDER BY doc_id) AS labels,
+      string_agg({sql_join(sql_mask(sql_pad('ids', 'long_', 0)))}, '|' ORDER BY doc_id) AS attention_mask
+    FROM siz GROUP BY batch"""
+)
+def sft_batches(spark, sf_dir):
+    rows = labelled(spark, sf_dir).select("doc_id", "text", "quality", F.lit("train").alias("split"))
+    words = K.build_vocab(rows, "text", max_size=VOCAB_SIZE)
+    data = T.sft_data(rows, "text", "quality", "doc_id", words, 256)
+    batches = T.sft_batches(data, "doc_id", 4).drop("n_rows")
+    return _nested_text(batches, "input_ids", "labels", "attention_mask")
+
+
 @query(
     f"""WITH {sql_split('sp', 'documents')}, {sql_vocab(DOC_TEXTS, VOCAB_SIZE)},
     {sql_encode('enc', 'sp', 'doc_id', 'text', 'ids')}, {sql_blocks('enc', 128, 100, True, 'split')}

@@ -7,7 +7,8 @@ it gives split points, exact counts between them give running totals, and a row
 is numbered inside its own range.
 
 ``first n`` and ``split`` do not even move the rows: the keys at the cut points
-are found on the narrow table and the rest is a predicate on each row.
+are found on the narrow table and the rest is a predicate on each row. A cut
+between equal keys is an error, never a wrong size.
 """
 
 from __future__ import annotations
@@ -178,12 +179,27 @@ def _ranges(
     return _Ranges(names, bounds, base), rows, parts
 
 
-def _numbered(df: DataFrame, ranges: _Ranges, name: str) -> DataFrame:
-    """Add the 0-based position; moves each row once, to its range."""
+def _numbered(df: DataFrame, ranges: _Ranges, name: str, flag_ties: bool = False) -> DataFrame:
+    """Add the 0-based position; moves each row once, to its range.
+
+    ``flag_ties`` adds ``_tie``, true where the row before has the same key.
+    """
     located = _with_bucket(df, ranges.names, ranges.bounds, ranges.base)
     window = Window.partitionBy("_bucket").orderBy(*ranges.names)
     position = F.get("_base", F.lit(0)) + F.row_number().over(window) - 1
-    return located.withColumn(name, position.cast("bigint")).drop("_base")
+    added = {name: position.cast("bigint")}
+    if flag_ties:
+        key = F.struct(*ranges.names)
+        added["_tie"] = F.coalesce(F.lag(key).over(window) == key, F.lit(False))
+    return located.withColumns(added).drop("_base")
+
+
+def _without_ties(rows: list[Row]) -> list[Row]:
+    """Fail where a cut falls between rows that the ordering cannot tell apart."""
+    for row in rows:
+        if row["_tie"]:
+            raise ValueError(f"order_by is not unique around position {row['_pos']}: add a key column")
+    return rows
 
 
 def positions(
@@ -207,15 +223,10 @@ def positions(
     ranges, rows, parts = _ranges(keys, names, groups, None, bucket_rows)
     if align > 1 and parts > 1:
         stride = align * math.ceil(rows / parts / align)
-        starts = (
-            _numbered(keys, ranges, "_pos")
-            .where(F.col("_pos") % stride == 0)
-            .orderBy(*names)
-            .select(*names, "_pos")
-            .collect()
-        )
-        bounds = [Row(*r[:-1]) for r in starts]
-        ranges = _Ranges(names, bounds, [[0]] + [[r[-1]] for r in starts])
+        starts = _numbered(keys, ranges, "_pos", flag_ties=True).where(F.col("_pos") % stride == 0)
+        found = _without_ties(starts.orderBy(*names).select(*names, "_pos", "_tie").collect())
+        bounds = [Row(*r[:-2]) for r in found]
+        ranges = _Ranges(names, bounds, [[0]] + [[r["_pos"]] for r in found])
     numbered = _numbered(keyed, ranges, name).drop(*names)
     return numbered if keep_bucket else numbered.drop("_bucket")
 
@@ -272,8 +283,9 @@ def _keys_at(keys: DataFrame, names: list[str], wanted: Sequence[int], bucket_ro
     first = [b[0] for b in ranges.base]
     needed = {max(i for i, start in enumerate(first) if start <= p) for p in wanted}
     near = _with_bucket(keys, names, ranges.bounds).where(F.col("_bucket").isin(sorted(needed)))
-    found = _numbered(near.drop("_bucket"), ranges, "_pos").where(F.col("_pos").isin(wanted))
-    return {r["_pos"]: Row(*[r[n] for n in names]) for r in found.collect()}
+    found = _numbered(near.drop("_bucket"), ranges, "_pos", flag_ties=True)
+    rows = _without_ties(found.where(F.col("_pos").isin(wanted)).collect())
+    return {r["_pos"]: Row(*[r[n] for n in names]) for r in rows}
 
 
 def _before(columns: list[Column], cut: Row, types: list[T.DataType]) -> Column:

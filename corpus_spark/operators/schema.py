@@ -67,7 +67,7 @@ def canonical_columns(
     label_column = F.lit(index).cast("int") if label is None else F.col(f"`{label}`")
     return df.select(
         *[F.col(f"`{c}`") for c in keep],
-        F.col(f"`{text}`").alias(text_name),
+        F.col(f"`{text}`").cast("string").alias(text_name),
         label_column.alias(label_name),
     )
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpus_spark.constants import (
     INPUT_MAX_LENGTH,
@@ -150,7 +151,11 @@ def prompt_merge_and_split(
 
 @dataclass
 class CleanConfig:
-    """Options of a cleaning task."""
+    """Options of a cleaning task.
+
+    ``schema`` describes the CSV sources; without it their types are inferred,
+    so that integer labels arrive as integers.
+    """
 
     root: str
     sources: Sequence[str]
@@ -161,22 +166,32 @@ class CleanConfig:
     train_length: int | None = None
     max_length: int = INPUT_MAX_LENGTH
     separators: Sequence[str] = field(default_factory=lambda: SEPARATORS)
+    schema: T.StructType | None = None
     save: bool = False
     target: str | None = None
     revision: str | None = None
 
 
-def _run_merge(spark: SparkSession, cfg: CleanConfig) -> DataFrame:
-    frames = [
-        read_any(spark, s, cfg.root, split="train", revision="validation") for s in cfg.sources
+def _sources(
+    spark: SparkSession, cfg: CleanConfig, split: str, revision: str | None = None
+) -> list[DataFrame]:
+    return [
+        read_any(
+            spark, s, cfg.root, split, revision, schema=cfg.schema, infer_types=cfg.schema is None
+        )
+        for s in cfg.sources
     ]
+
+
+def _run_merge(spark: SparkSession, cfg: CleanConfig) -> DataFrame:
+    frames = _sources(spark, cfg, split="train", revision="validation")
     return merge_and_split(
         frames, cfg.key, cfg.text_candidates, cfg.label_candidates, cfg.train_length
     )
 
 
 def _run_prompt(spark: SparkSession, cfg: CleanConfig) -> DataFrame:
-    frames = [read_any(spark, s, cfg.root, split="test") for s in cfg.sources]
+    frames = _sources(spark, cfg, split="test")
     return prompt_merge_and_split(
         frames,
         cfg.key,

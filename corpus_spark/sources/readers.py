@@ -34,11 +34,12 @@ def read_csv(
     columns: Sequence[str] | None = None,
     schema: T.StructType | None = None,
     multi_line: bool = True,
+    infer_types: bool = False,
 ) -> DataFrame:
     """CSV with a header row, all columns STRING unless a schema is given.
 
-    ``columns`` forces names by position and skips the header row. Quoted line
-    breaks need ``multi_line``, which reads a file in one task: store large
+    ``columns`` forces names by position and skips the header row.
+    ``infer_types`` finds column types in one more pass. Quoted line breaks need ``multi_line``, which reads a file in one task: store large
     inputs as many files, or turn it off where texts hold no line break.
     """
     reader = (
@@ -51,6 +52,8 @@ def read_csv(
         schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
     if schema is not None:
         reader = reader.schema(schema).option("enforceSchema", True)
+    elif infer_types:
+        reader = reader.option("inferSchema", True)
     return reader.csv(path if isinstance(path, str) else list(path))
 
 
@@ -77,11 +80,12 @@ def read_any(
     split: str | None = None,
     revision: str | None = None,
     schema: T.StructType | None = None,
+    infer_types: bool = False,
 ) -> DataFrame:
     """Read ``source`` below ``root``: a file by its suffix, else a published dataset."""
     path = f"{root.rstrip('/')}/{source}"
     if source.endswith(".csv"):
-        return read_csv(spark, path, schema=schema)
+        return read_csv(spark, path, schema=schema, infer_types=infer_types)
     if source.endswith(".json"):
         return (spark.read.schema(schema) if schema else spark.read).json(path)
     if source.endswith(".txt"):
@@ -94,15 +98,22 @@ def read_text(
     path: str,
     glob: str | None = "*.txt",
     keep_file: bool = False,
+    keep_linebreaks: bool = False,
+    only_first_file: bool = False,
 ) -> DataFrame:
-    """Plain text, one row per line, optionally with the name of its file."""
+    """Plain text, one row per line, optionally with the name of its file.
+
+    ``only_first_file`` reads just the first file by name, for a quick trial.
+    """
     reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    lines = reader.text(path).withColumnRenamed("value", "text")
-    if keep_file:
-        lines = lines.select("text", F.col("_metadata.file_name").alias("file"))
-    return lines
+    lines = reader.text(path)
+    text = F.concat("value", F.lit("\n")) if keep_linebreaks else F.col("value")
+    lines = lines.select(text.alias("text"), F.col("_metadata.file_name").alias("file"))
+    if only_first_file:
+        lines = lines.where(F.col("file") == lines.agg(F.min("file")).scalar())
+    return lines if keep_file else lines.drop("file")
 
 
 def read_splits(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:

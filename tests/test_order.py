@@ -131,3 +131,22 @@ def test_string_and_null_free_bounds(spark):
     got = O.exact_rank(df, "s", bucket_rows=25).collect()
     wanted = {n: i for i, n in enumerate(sorted(names, key=lambda s: s.encode()), 1)}
     assert {r.s: r["rank"] for r in got} == wanted
+
+
+@pytest.mark.parametrize("bucket_rows", [40, 100_000])
+def test_cut_between_equal_keys_is_an_error(spark, bucket_rows):
+    hot = spark.range(300).select(F.when(F.col("id") < 100, 7).otherwise(F.col("id")).alias("k"), "id")
+    with pytest.raises(ValueError, match="not unique"):
+        O.head_n(hot, 50, "k", bucket_rows=bucket_rows)
+    assert O.head_n(hot, 100, "k", bucket_rows=bucket_rows).count() == 100
+    assert O.head_n(hot, 50, ["k", "id"], bucket_rows=bucket_rows).count() == 50
+    ranked = O.exact_rank(hot, ["k", "id"], bucket_rows=bucket_rows).where("k = 7")
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 101))
+
+
+def test_aligned_positions_need_unique_keys(spark):
+    hot = spark.range(300).select(F.lit(7).alias("k"), "id")
+    with pytest.raises(ValueError, match="not unique"):
+        O.positions(hot, "k", align=10, bucket_rows=40)
+    pos = O.positions(hot, ["k", "id"], align=10, bucket_rows=40)
+    assert sorted(r.pos for r in pos.collect()) == list(range(300))

@@ -83,14 +83,14 @@ def test_tasks(spark, tmp_path):
     root = str(tmp_path)
     df = spark.range(50).select("id", F.concat(F.lit("t"), "id").alias("text"))
     publish(df.withColumn("split", F.lit("train")), root, "one", "validation")
-    df.select(F.col("id").cast("string").alias("id"), "text").coalesce(1).write.option(
-        "header", True
-    ).csv(f"{root}/two.csv")
+    labels = (F.col("id") % 2).alias("labels")
+    df.select("id", "text", labels).coalesce(1).write.option("header", True).csv(f"{root}/two.csv")
     cfg = clean.CleanConfig(root, ["one"], save=True, target="out", revision="r1")
     clean.run_task(spark, cfg)
     assert read_named(spark, root, "out", split="test", revision="r1").count() == 5
     prompt = clean.CleanConfig(root, ["two.csv"], task="PROMPT_MERGE_SPLIT_SAVE")
-    assert clean.run_task(spark, prompt).count() == 50
+    outputs = clean.run_task(spark, prompt).groupBy("output").count().collect()
+    assert {r[0]: r[1] for r in outputs} == {"AI编写": 25, "人类编写": 25}
     with pytest.raises(ValueError):
         clean.run_task(spark, clean.CleanConfig(root, [], task="TO_CLEAN"))
 

@@ -40,6 +40,12 @@ def test_json_and_text_by_suffix(spark, rows, tmp_path):
     lines = IO.read_text(spark, str(tmp_path / "d"), keep_file=True).collect()
     assert sorted(tuple(r) for r in lines) == [("", "one.txt"), ("a", "one.txt"), ("b", "one.txt")]
     assert IO.read_any(spark, "d/one.txt", str(tmp_path)).count() == 3
+    (tmp_path / "d" / "zwei.txt").write_text("z\n", encoding="utf-8")
+    folder = str(tmp_path / "d")
+    assert IO.read_text(spark, folder).count() == 4
+    assert IO.read_text(spark, folder, only_first_file=True).count() == 3
+    kept = IO.read_text(spark, folder, keep_linebreaks=True).collect()
+    assert sorted(r.text for r in kept) == ["\n", "a\n", "b\n", "z\n"]
 
 
 def test_published_splits(spark, tmp_path):
