@@ -27,8 +27,11 @@ from corpus_spark.constants import (
     INFERENCE_WITH_INPUT,
     INSTRUCTION_TEMPLATE,
     LABEL_TO_TARGET,
+    PIPE_SEPARATOR,
+    PIPE_SOURCE,
     PROMPT_INSTRUCTION,
     PROMPT_OUTPUTS,
+    SEPARATORS,
     SEQ2SEQ_OPTIONS,
     TARGET_TO_LABEL,
     TRAIN_OPTIONS,
@@ -249,6 +252,33 @@ def repack_filter(spark, sf_dir):
     return S.repack_filter(docs, "text", 512, DOC_SEPARATORS)
 
 
+BLANK_LINES_SQL = f"""
+src AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents),
+{sql_repack('packed', 'src', 'doc_id', 'text', 512, SEPARATORS)}"""
+
+
+@query(f"WITH {BLANK_LINES_SQL} SELECT doc_id, text FROM packed")
+def repack_blank_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")
+    )
+    return S.repack_filter(docs, "text")
+
+
+PIPES_SQL = f"""
+src AS (SELECT doc_id, replace(text, chr(10), {lit(PIPE_SEPARATOR)}) AS text FROM documents),
+{sql_repack('packed', 'src', 'doc_id', 'text', 1024, (PIPE_SEPARATOR, *SEPARATORS))}"""
+
+
+@query(f"WITH {PIPES_SQL} SELECT doc_id, text FROM packed")
+def repack_pipes(spark, sf_dir):
+    """The rule of the one source whose texts are joined by pipes."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.replace("text", F.lit("\n"), F.lit(PIPE_SEPARATOR)).alias("text")
+    )
+    return S.repack_filter(docs, "text", 1024, source=PIPE_SOURCE)
+
+
 @query(
     f"WITH {REPACKED_SQL} SELECT doc_id, text AS input, {lit(PROMPT_INSTRUCTION)} AS instruction,"
     f" {lit(PROMPT_OUTPUTS[1])} AS output FROM packed"

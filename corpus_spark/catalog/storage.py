@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from corpus_spark.catalog.registry import (
@@ -11,6 +13,7 @@ from corpus_spark.catalog.registry import (
     sql_split,
     table,
 )
+from corpus_spark.functions import text_size
 from corpus_spark.operators.metrics import row_counts, weighted_scores
 from corpus_spark.operators.order import split_exact
 from corpus_spark.plans.clean import CleanConfig, run_task
@@ -25,6 +28,7 @@ from corpus_spark.sources import (
     read_named,
     read_splits,
     read_text,
+    speed_metrics,
     write_csv,
     write_metrics,
     write_splits,
@@ -113,6 +117,17 @@ def metrics_log(spark, sf_dir):
     return log.withColumn("value", rounded("value"))
 
 
+@query("SELECT 'encode' AS run, 'train' AS split, 'samples' AS metric, count(*)::DOUBLE AS value FROM documents")
+def run_summary(spark, sf_dir):
+    """Rows and time of a job over all texts, logged and read back; the time is not compared."""
+    path = scratch_path(spark, "speed")
+    start = time.perf_counter()
+    done = table(spark, sf_dir, "documents").agg(F.count("*"), F.sum(text_size(F.col("text")))).first()
+    write_metrics(speed_metrics(spark, done[0], time.perf_counter() - start), path, "encode", "train")
+    log = spark.read.schema("run string, split string, metric string, value double").json(path)
+    return log.where("metric = 'samples'")
+
+
 @query(
     "SELECT conv_id, turn, role, text, (SELECT count(*) FROM conversations) AS n_rows"
     " FROM conversations ORDER BY conv_id, turn LIMIT 10"

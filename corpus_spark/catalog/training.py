@@ -42,6 +42,8 @@ from corpus_spark.operators.schema import decode_label
 from corpus_spark.operators.udf import map_batches as run_batches
 from corpus_spark.operators.udf import token_udf
 from corpus_spark.plans import training as T
+from corpus_spark.session import materialize
+from corpus_spark.sources import spread
 
 DOC_TEXTS = "SELECT text FROM documents"
 TURN_TEXTS = "SELECT text FROM conversations"
@@ -50,11 +52,11 @@ TURNS_SQL = "turns AS (SELECT *, conv_id || ':' || turn AS rid FROM conversation
 
 
 def _documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _turns(spark, sf_dir) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"), "conv_id", "turn")
     return turns.withColumn("rid", F.concat_ws(":", "conv_id", "turn"))
 
 
@@ -133,7 +135,8 @@ def decode(spark, sf_dir):
     """Text to ids and back with the whole vocabulary."""
     words = _doc_vocab(spark, sf_dir, size=None)
     ids = K.encode(_documents(spark, sf_dir), "text", words, row_key=["doc_id"])
-    back = K.decode(ids.select("doc_id", "input_ids"), "input_ids", words, row_key=["doc_id"])
+    saved = materialize(ids.select("doc_id", "input_ids"), "ids")
+    back = K.decode(saved, "input_ids", words, row_key=["doc_id"])
     return back.select("doc_id", "decoded")
 
 

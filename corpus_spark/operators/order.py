@@ -156,8 +156,8 @@ def _with_bucket(
 
 def _ranges(
     keys: DataFrame, names: list[str], groups: int, values: list[str] | None, bucket_rows: int
-) -> tuple[_Ranges, int, int]:
-    """Ranges with running totals of ``values`` (of the row count if None)."""
+) -> tuple[_Ranges, int]:
+    """Ranges with running totals of ``values`` (of the rows if None), and the row count."""
     rows = keys.count()
     parts = _bucket_total(rows, bucket_rows)
     bounds = _split_points(keys, names, groups, parts, rows)
@@ -176,7 +176,7 @@ def _ranges(
                 running, group = zero, owner
             base[bucket] = running
             running = [a + b for a, b in zip(running, totals.get(bucket, zero))]
-    return _Ranges(names, bounds, base), rows, parts
+    return _Ranges(names, bounds, base), rows
 
 
 def _numbered(df: DataFrame, ranges: _Ranges, name: str, flag_ties: bool = False) -> DataFrame:
@@ -217,11 +217,12 @@ def positions(
     be of any size. With ``align`` no batch of that many rows crosses a range,
     so a later grouping by (``_bucket``, batch) needs no further shuffle.
     """
-    bucket_rows = bucket_rows or BUCKET_ROWS
     keyed, names, groups = _with_keys(df, order_by, within)
     keys = materialize(keyed.select(*names), "keys")
-    ranges, rows, parts = _ranges(keys, names, groups, None, bucket_rows)
-    if align > 1 and parts > 1:
+    ranges, rows = _ranges(keys, names, groups, None, NARROW_BUCKET_ROWS)
+    parts = _bucket_total(rows, bucket_rows or BUCKET_ROWS)
+    if parts > 1 or rows > NARROW_BUCKET_ROWS:
+        # Even ranges for the wide rows start at every stride-th position.
         stride = align * math.ceil(rows / parts / align)
         starts = _numbered(keys, ranges, "_pos", flag_ties=True).where(F.col("_pos") % stride == 0)
         found = _without_ties(starts.orderBy(*names).select(*names, "_pos", "_tie").collect())
@@ -257,7 +258,7 @@ def running_sums(
     values = list(values)
     keyed, names, _ = _with_keys(df, order_by, None)
     keyed = materialize(keyed, "running")
-    ranges, _, _ = _ranges(keyed, names, 0, values, bucket_rows or NARROW_BUCKET_ROWS)
+    ranges, _ = _ranges(keyed, names, 0, values, bucket_rows or NARROW_BUCKET_ROWS)
     located = _with_bucket(keyed, names, ranges.bounds, ranges.base)
     window = (
         Window.partitionBy("_bucket")
@@ -279,7 +280,7 @@ def _keys_at(keys: DataFrame, names: list[str], wanted: Sequence[int], bucket_ro
     wanted = sorted(set(wanted))
     if not wanted:
         return {}
-    ranges, _, _ = _ranges(keys, names, 0, None, bucket_rows or NARROW_BUCKET_ROWS)
+    ranges, _ = _ranges(keys, names, 0, None, bucket_rows or NARROW_BUCKET_ROWS)
     first = [b[0] for b in ranges.base]
     needed = {max(i for i, start in enumerate(first) if start <= p) for p in wanted}
     near = _with_bucket(keys, names, ranges.bounds).where(F.col("_bucket").isin(sorted(needed)))

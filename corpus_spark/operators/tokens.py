@@ -30,8 +30,8 @@ __all__ = [
     "special_names",
 ]
 
-HEAD_ENTRIES = 131_072
-LOOKUP_SLOTS = 32_768
+HEAD_ENTRIES = 262_144
+LOOKUP_SLOTS = 65_536
 TAIL_SALTS = 8
 
 

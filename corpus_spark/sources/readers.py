@@ -17,6 +17,7 @@ __all__ = [
     "preview",
     "cached_or",
     "path_exists",
+    "spread",
     "FILE_SUFFIXES",
 ]
 
@@ -28,6 +29,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a table of fewer splits than cores one task per core.
+
+    Meant before costly narrow work on few or unsplittable files; a table with
+    enough splits, as any large one has, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from corpus_spark.operators import order as O
 
 
+@pytest.fixture(params=[64, 500_000])
+def narrow(request, monkeypatch):
+    """Rows per range of the key table: many ranges, or one."""
+    monkeypatch.setattr(O, "NARROW_BUCKET_ROWS", request.param)
+
+
 @pytest.fixture(scope="module")
 def table(spark):
     rng = random.Random(3)
@@ -19,7 +25,7 @@ def table(spark):
 
 
 @pytest.mark.parametrize("bucket_rows", [50, 100_000])
-def test_exact_rank(table, bucket_rows):
+def test_exact_rank(table, narrow, bucket_rows):
     got = O.exact_rank(table, [-F.col("v"), "id"], bucket_rows=bucket_rows).collect()
     wanted = sorted(got, key=lambda r: (-r.v, r.id))
     assert [r["rank"] for r in wanted] == list(range(1, 1238))
@@ -27,7 +33,7 @@ def test_exact_rank(table, bucket_rows):
 
 @pytest.mark.parametrize("bucket_rows", [50, 100_000])
 @pytest.mark.parametrize("align", [1, 7, 90])
-def test_positions_within_groups(table, bucket_rows, align):
+def test_positions_within_groups(table, narrow, bucket_rows, align):
     got = O.positions(
         table, ["v", "id"], within="grp", align=align, keep_bucket=True, bucket_rows=bucket_rows
     ).collect()
@@ -41,7 +47,7 @@ def test_positions_within_groups(table, bucket_rows, align):
         assert align == 1 or all(len(b) == 1 for b in batches.values())
 
 
-def test_positions_do_not_depend_on_partitions(table):
+def test_positions_do_not_depend_on_partitions(table, narrow):
     one = O.positions(table.coalesce(1), "id", bucket_rows=100).select("id", "pos").collect()
     many = O.positions(table.repartition(200), "id", bucket_rows=100).select("id", "pos").collect()
     assert sorted(one) == sorted(many)
@@ -124,7 +130,7 @@ def test_quantiles(spark, bucket_rows):
         assert got[q] == pytest.approx(np.quantile(values, q))
 
 
-def test_string_and_null_free_bounds(spark):
+def test_string_and_null_free_bounds(spark, narrow):
     rng = random.Random(4)
     names = sorted({"".join(rng.choices("abc中😀", k=5)) for _ in range(600)})
     df = spark.createDataFrame([(n,) for n in names], "s string").repartition(7)
@@ -144,7 +150,7 @@ def test_cut_between_equal_keys_is_an_error(spark, bucket_rows):
     assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 101))
 
 
-def test_aligned_positions_need_unique_keys(spark):
+def test_aligned_positions_need_unique_keys(spark, narrow):
     hot = spark.range(300).select(F.lit(7).alias("k"), "id")
     with pytest.raises(ValueError, match="not unique"):
         O.positions(hot, "k", align=10, bucket_rows=40)
