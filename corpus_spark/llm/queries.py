@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpus_spark.llm.minhash import near_duplicates
 from corpus_spark.llm.substring import substring_report
 from corpus_spark.llm.suffix_array import suffix_array_report
 
@@ -30,3 +31,8 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_report(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
