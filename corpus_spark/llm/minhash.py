@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from corpus_spark.llm.buffers import flat_bytes, integers, mix, split_words
 from corpus_spark.llm.components import components
-from corpus_spark.llm.repeats import bucket_count
 from corpus_spark.llm.shingles import SHINGLE, shingle_hashes, shingle_sets
 from corpus_spark.session import materialize
 
@@ -161,7 +160,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: in
     roles = dealt.unionByName(own).withColumnRenamed("member", "id")
     needed = roles.select("id").distinct().join(members.select("id", "h1"), "id")
     sets = docs.join(needed, "id").select("id", "text", "h1").mapInArrow(_sets, "id long, shingles binary")
-    bucket = F.pmod(F.xxhash64("centre", "part"), F.lit(4 * bucket_count(docs))).cast("int")
+    bucket = F.pmod(F.xxhash64("centre", "part"), F.lit(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))).cast("int")
     rows = roles.join(sets, "id").select(bucket.alias("bucket"), "centre", "part", F.col("id").alias("member"), "shingles")
     return materialize(rows.groupBy("bucket").applyInArrow(_confirm(percent), "u long, v long"), "links")
 

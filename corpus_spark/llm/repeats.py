@@ -16,12 +16,13 @@ A symbol is a byte or a word. The steps, each a Spark shuffle of small rows:
 
 Triggers with very many distinct contexts (found in a sample of documents, which
 decides only where rows go) are not sorted together: their strings are looked up by
-hash like contexts are. Rows move as packed arrays, one per task and bucket; the
-buckets follow ``spark.sql.shuffle.partitions``.
+hash like contexts are. Rows move as packed arrays, one per task and bucket; the number
+of buckets follows the bytes of text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -37,6 +38,8 @@ from corpus_spark.llm.buffers import (
 from corpus_spark.session import materialize
 
 CORE = 1 << 20
+BUCKET_BYTES = 8 << 20
+LEAST_BUCKETS = 23
 HOT_SAMPLE = 256  # one document in so many is looked at for hot triggers
 HOT_CONTEXTS = 48  # distinct contexts in the sample that make a trigger hot
 HOT_LIMIT = 8192  # hot triggers sent to the tasks, the most frequent first
@@ -404,10 +407,11 @@ def _apply(unit: Unit, finish: Callable, schema: pa.Schema) -> Callable:
     return run
 
 
-def bucket_count(df: DataFrame) -> int:
-    """The first prime from twice the shuffle partitions that the session was given for its data."""
-    number = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
-    while any(number % d == 0 for d in range(2, int(number**0.5) + 1)):
+def bucket_count(docs: DataFrame) -> int:
+    """The first prime from one bucket for every BUCKET_BYTES of text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    number = max(LEAST_BUCKETS, math.ceil(size / BUCKET_BYTES))
+    while any(number % d == 0 for d in range(2, math.isqrt(number) + 1)):
         number += 1
     return number
 
