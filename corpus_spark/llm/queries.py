@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_spark.llm.decontaminate import contaminated_passages
 from corpus_spark.llm.minhash import near_duplicates
+from corpus_spark.llm.mixing import mix_sources, mix_sql
 from corpus_spark.llm.substring import substring_report
 from corpus_spark.llm.suffix_array import suffix_array_report
 from corpus_spark.llm.toxicity import FOLDS, crc_fold, learn_toxicity, score_toxicity
@@ -50,3 +52,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_mixing"] = mix_sql()
