@@ -12,7 +12,9 @@ from corpus_spark.llm.minhash import near_duplicates
 from corpus_spark.llm.mixing import mix_sources, mix_sql
 from corpus_spark.llm.substring import substring_report
 from corpus_spark.llm.suffix_array import suffix_array_report
+from corpus_spark.llm.tool_calls import TURN_SCHEMAS, link_tool_calls, tool_call_sql, turns_as_calls
 from corpus_spark.llm.toxicity import FOLDS, crc_fold, learn_toxicity, score_toxicity
+from corpus_spark.llm.url_filter import HOST_RULES, PATTERN_RULES, filter_sql, filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +67,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op3_mixing"] = mix_sql()
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"), HOST_RULES, PATTERN_RULES)
+
+
+@query
+def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = turns_as_calls(_table(spark, sf_dir, "conversations"))
+    return link_tool_calls(calls, results, TURN_SCHEMAS)
+
+
+ORACLES["op6_url_filter"] = filter_sql()
+ORACLES["op7_tool_call_linking"] = tool_call_sql()
