@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_spark.llm.decontaminate import contaminated_passages
+from corpus_spark.llm.hilbert import nearest_neighbours
 from corpus_spark.llm.minhash import near_duplicates
 from corpus_spark.llm.mixing import mix_sources, mix_sql
 from corpus_spark.llm.substring import substring_report
@@ -82,3 +83,8 @@ def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op6_url_filter"] = filter_sql()
 ORACLES["op7_tool_call_linking"] = tool_call_sql()
+
+
+@query
+def op5_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
