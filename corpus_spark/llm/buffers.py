@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,8 +12,11 @@ import pyarrow.compute as pc
 # Bytes that separate words: space, tab, LF, VT, FF, CR.
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 _random = np.random.default_rng(20240607)
 BYTE_CODES = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,6 +75,21 @@ def flat_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int | str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut to about ``size`` bytes of a text column (or one row), to bound what a task holds."""
+    for batch in batches:
+        texts = batch.column(column)
+        if not len(texts):
+            yield batch
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 @dataclass
 class Words:
     """Words of a batch: byte start, byte end and hash of each; doc d owns first[d]:first[d+1]."""
@@ -102,7 +121,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     end = np.flatnonzero(stop)
     del inside, begin, stop
     first = np.searchsorted(start, offsets)
-    table = BYTE_CODES[_LOWER] if lower else BYTE_CODES
+    table = BYTE_CODES[LOWER] if lower else BYTE_CODES
     hashes = np.empty(len(start), np.uint64)
     at = 0
     while at < len(start):
@@ -116,3 +135,16 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
         hashes[at:to] = mix((total[e] - total[s]) * back + (e - s).astype(np.uint64) * np.uint64(BASE))
         at = to
     return Words(start, end, hashes, first)
+
+
+def strip_punctuation(
+    data: np.ndarray, start: np.ndarray, end: np.ndarray, left: np.ndarray = PUNCTUATION
+) -> tuple[np.ndarray, np.ndarray]:
+    """Words without ASCII punctuation at their ends; ``left`` says what goes at the start."""
+    if not len(data):
+        return start, end
+    index = np.arange(len(data), dtype=np.int32 if len(data) < 2**31 else np.int64)
+    following = np.minimum.accumulate(np.where(left[data], index.dtype.type(len(data)), index)[::-1])[::-1]
+    start = np.minimum(following[start], end).astype(np.int64)
+    before = np.maximum.accumulate(np.where(PUNCTUATION[data], index.dtype.type(-1), index))
+    return start, np.maximum(before[end - 1].astype(np.int64) + 1, start)

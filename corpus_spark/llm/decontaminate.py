@@ -26,9 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_spark.llm.buffers import BASE, BYTE_CODES, INVERSE, flat_bytes, mix, powers, split_words
-from corpus_spark.llm.buffers import _LOWER
-from corpus_spark.llm.toxicity import _PUNCT, _stripped
+from corpus_spark.llm.buffers import BASE, BYTE_CODES, INVERSE, LOWER, flat_bytes, mix, pieces, powers, split_words, strip_punctuation
 
 SEED = 3
 THRESHOLD = 0.5
@@ -40,11 +38,11 @@ COMMON_TIMES, COMMON_MORE = 2, 20
 def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word without punctuation at its ends, offsets); words of punctuation go."""
     words = split_words(data, offsets, lower=True)
-    start, end = _stripped(data, words.start, words.end, _PUNCT)
+    start, end = strip_punctuation(data, words.start, words.end)
     keep = end > start
     first = np.concatenate([[0], np.cumsum(keep)])[words.first]
     start, end = start[keep], end[keep]
-    out, table, at = np.empty(len(start), np.uint64), BYTE_CODES[_LOWER], 0
+    out, table, at = np.empty(len(start), np.uint64), BYTE_CODES[LOWER], 0
     while at < len(start):
         to = max(at + 1, int(np.searchsorted(start, start[at] + (1 << 20))))
         lo, hi = int(start[at]), int(end[to - 1])
@@ -195,7 +193,7 @@ def _counted(docs: DataFrame, items: Items) -> dict[int, int]:
     """In how many documents each n-gram of the block occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 0):
             codes, first = word_codes(*flat_bytes(batch.column(0)))
             doc, _, seed = items.hits(codes, first)
             pairs = np.unique(np.stack([items.keys[seed], doc.astype(np.uint64)], axis=1), axis=0)
@@ -223,7 +221,7 @@ def contaminated_passages(
     for items in seeded_items(docs, benchmark, text_col, item_id):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches, 1):
                 rows = _matches(items, *flat_bytes(batch.column(1)), threshold)
                 ids = batch.column(0)
                 columns = [
@@ -245,7 +243,7 @@ def drop_contaminated(
     for items in seeded_items(docs, benchmark, text_col, item_id):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches, place):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[r[0] for r in _matches(items, *flat_bytes(batch.column(place)), threshold)]] = False
                 yield batch.filter(pa.array(clean))

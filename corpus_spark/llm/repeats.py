@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpus_spark.llm.buffers import (
-    BASE, BYTE_CODES, INVERSE, flat_bytes, id_array, integers, mix, powers, split_words,
+    BASE, BYTE_CODES, INVERSE, flat_bytes, integers, mix, pieces, powers, split_words,
 )
 from corpus_spark.session import materialize
 
 CORE = 1 << 20
 BUCKET_BYTES = 8 << 20
+PIECE_BYTES = 16 << 20
 LEAST_BUCKETS = 23
 HOT_SAMPLE = 256  # one document in so many is looked at for hot triggers
 HOT_CONTEXTS = 48  # distinct contexts in the sample that make a trigger hot
@@ -194,7 +195,7 @@ def _first_wins(rows: np.ndarray, buckets: int, out: list) -> np.ndarray:
 
 def _parse(unit: Unit, buckets: int, hot: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1, PIECE_BYTES):
             ids = integers(batch.column(0))
             symbols, offsets, _ = unit.symbols(*flat_bytes(batch.column(1)))
             doc, at, lo, hi, key, check = triggers(symbols, offsets, unit)
@@ -420,7 +421,7 @@ def _hot(docs: DataFrame, unit: Unit) -> np.ndarray:
     """Triggers with many contexts in a sample of documents; at most HOT_LIMIT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1, PIECE_BYTES):
             symbols, offsets, _ = unit.symbols(*flat_bytes(batch.column(1)))
             *_, key, check = triggers(symbols, offsets, unit)
             order = np.lexsort((check, key))
