@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_spark.llm.attention_lm import lm_scores
 from corpus_spark.llm.decontaminate import contaminated_passages
 from corpus_spark.llm.hilbert import nearest_neighbours
 from corpus_spark.llm.minhash import near_duplicates
@@ -88,3 +89,8 @@ ORACLES["op7_tool_call_linking"] = tool_call_sql()
 @query
 def op5_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
