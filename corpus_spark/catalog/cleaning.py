@@ -33,9 +33,10 @@ from corpus_spark.constants import (
     PROMPT_OUTPUTS,
     SEPARATORS,
     SEQ2SEQ_OPTIONS,
+    SUMMARY_PROMPT,
     TARGET_TO_LABEL,
     TRAIN_OPTIONS,
-    TRAIN_PROMPTS,
+    TRAIN_PROMPT,
 )
 from corpus_spark.functions import (
     array_intersection,
@@ -58,7 +59,7 @@ from corpus_spark.plans.training import (
 from corpus_spark.session import scratch_path
 from corpus_spark.streaming.clean import clean_step, clean_stream
 
-CASE_VALUES = ("正确", "不正确", "特殊符号", "超过最大长度")
+CASE_VALUES = ("plain", "empty", "long", "mixed script")
 
 
 def _by_language(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
@@ -174,9 +175,9 @@ def prompt_rows(spark, sf_dir):
 
 @query(
     "SELECT doc_id, "
-    + sql_template(TRAIN_PROMPTS[2], options_=lit(TRAIN_OPTIONS), sentence1="text")
+    + sql_template(TRAIN_PROMPT, options_=lit(TRAIN_OPTIONS), sentence1="text")
     + " AS prompt, "
-    + sql_template(TRAIN_PROMPTS[0], sentence1="text")
+    + sql_template(SUMMARY_PROMPT, sentence1="text")
     + " AS summary_prompt FROM documents"
 )
 def template_fill(spark, sf_dir):
@@ -184,7 +185,7 @@ def template_fill(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
         "doc_id",
         train_prompt(t).alias("prompt"),
-        train_prompt(t, TRAIN_PROMPTS[0]).alias("summary_prompt"),
+        train_prompt(t, SUMMARY_PROMPT).alias("summary_prompt"),
     )
 
 
@@ -205,7 +206,7 @@ def request_prompts(spark, sf_dir):
 
 @query(
     f"WITH {LABELLED_SQL} SELECT doc_id, "
-    + sql_template(TRAIN_PROMPTS[2], options_=lit(TRAIN_OPTIONS), sentence1="text")
+    + sql_template(TRAIN_PROMPT, options_=lit(TRAIN_OPTIONS), sentence1="text")
     + " AS sources, quality::VARCHAR || '</s>' AS targets FROM labelled"
 )
 def sft_pairs(spark, sf_dir):
@@ -281,7 +282,8 @@ def repack_pipes(spark, sf_dir):
 
 @query(
     f"WITH {REPACKED_SQL} SELECT doc_id, text AS input, {lit(PROMPT_INSTRUCTION)} AS instruction,"
-    f" {lit(PROMPT_OUTPUTS[1])} AS output FROM packed"
+    f" {lit(PROMPT_OUTPUTS[1])} AS output, CASE WHEN h < 8 THEN 'train' WHEN h = 8 THEN 'validation' ELSE 'test' END AS split"
+    f" FROM (SELECT *, CAST('0x' || substr({sql_shuffle(5, 'doc_id')}, 1, 8) AS BIGINT) % 10 AS h FROM packed)"
 )
 def stream_clean(spark, sf_dir):
     """The cleaning steps as a stream over the table's file, read back as a table."""
@@ -295,7 +297,7 @@ def stream_clean(spark, sf_dir):
         spark, sf_dir, f"{out}/rows", f"{out}/state", source.schema, step, "doc_id",
         glob="documents.parquet",
     )
-    return spark.read.parquet(f"{out}/rows").select("doc_id", "input", "instruction", "output")
+    return spark.read.parquet(f"{out}/rows").select("doc_id", "input", "instruction", "output", "split")
 
 
 @query(

@@ -22,8 +22,7 @@ from corpus_spark.operators import vectors as V
 from corpus_spark.operators.order import split_exact
 from corpus_spark.plans.classify import predict_labels, train_text_classifier
 from corpus_spark.plans.evaluate import evaluate, reward_report as report, reward_summary as summary
-
-LOGITS = 10
+from corpus_spark.session import materialize
 
 
 def sql_scores(source: str) -> str:
@@ -51,24 +50,24 @@ def _round_values(df):
 
 
 @query(
-    f"""WITH yp AS (SELECT label AS y, list_position(embedding[1:{LOGITS}], list_max(embedding[1:{LOGITS}])) - 1 AS p
+    f"""WITH yp AS (SELECT label AS y, list_position(embedding, list_max(embedding)) - 1 AS p
     FROM embeddings), {sql_scores('yp')} SELECT * FROM scores"""
 )
 def argmax_metrics(spark, sf_dir):
-    """Evaluation of logits: the first ten numbers of a vector against its label."""
+    """Evaluation of logits: a vector against its label."""
     rows = table(spark, sf_dir, "embeddings").select(
-        F.slice("embedding", 1, LOGITS).alias("logits"), "label"
+        F.col("embedding").alias("logits"), "label"
     )
     return _round_values(evaluate(rows, "logits", "label"))
 
 
 @query(
-    f"""SELECT label AS label, (list_position(embedding[1:{LOGITS}], list_max(embedding[1:{LOGITS}])) - 1)::INTEGER AS pred,
+    f"""SELECT label AS label, (list_position(embedding, list_max(embedding)) - 1)::INTEGER AS pred,
     count(*) AS n FROM embeddings GROUP BY ALL"""
 )
 def confusion_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(
-        argmax(F.slice("embedding", 1, LOGITS)).alias("guess"), "label"
+        argmax(F.col("embedding")).alias("guess"), "label"
     )
     return M.confusion(rows, "label", "guess")
 
@@ -244,11 +243,27 @@ def impute_mean_vectors(spark, sf_dir):
 # --- classifier ------------------------------------------------------------
 
 
-@query()
+@query(
+    f"""WITH {LABELLED_SQL}, {sql_split('s', 'labelled')}
+    SELECT 'scored' AS kind, split || ' ' || quality AS name, count(*) AS n FROM s WHERE split <> 'train' GROUP BY split, quality
+    UNION ALL SELECT 'outside 0..1', 'score', 0
+    UNION ALL SELECT 'in range', unnest(['accuracy', 'precision', 'recall', 'f1', 'roc_auc']), 1"""
+)
 def classifier(spark, sf_dir):
-    """Train on one part of the labelled documents and score the rest."""
+    """Train on one part of the labelled documents and score the rest.
+
+    A result that holds for any good model: rows scored by split and label, scores that
+    are no probabilities, and whether each metric lies between 0 and 1.
+    """
     rows = labelled(spark, sf_dir).select("doc_id", "text", F.col("quality").alias("labels"))
     rows = split_exact(rows, "doc_id")
     model = train_text_classifier(rows.where("split = 'train'"))
-    scored = predict_labels(model, rows.where("split <> 'train'"))
-    return evaluate(scored, "logits", "labels", "score")
+    scored = materialize(predict_labels(model, rows.where("split <> 'train'")), "scored")
+    known = scored.groupBy(F.lit("scored").alias("kind"), F.concat_ws(" ", "split", "labels").alias("name")).agg(F.count("*").alias("n"))
+    inside = F.coalesce(F.col("score").between(0, 1), F.lit(False))
+    outside = scored.agg(F.count_if(~inside).alias("n"))
+    outside = outside.select(F.lit("outside 0..1").alias("kind"), F.lit("score").alias("name"), "n")
+    metrics = evaluate(scored, "logits", "labels", "score")
+    ranged = F.coalesce(F.col("value").between(0, 1), F.lit(False)).cast("bigint")
+    metrics = metrics.select(F.lit("in range").alias("kind"), F.col("metric").alias("name"), ranged.alias("n"))
+    return known.unionByName(outside).unionByName(metrics)

@@ -16,7 +16,6 @@ ORACLES: dict[str, str] = {}
 
 # The documents hold none of the usual separators, so a line break joins them.
 DOC_SEPARATORS = (*SEPARATORS, "\n")
-VOCAB_SIZE = 32_000
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from corpus_spark.catalog.registry import (
     LABELLED_SQL,
     PAIRS_SQL,
-    VOCAB_SIZE,
     labelled,
     lit,
     query,
@@ -21,6 +20,7 @@ from corpus_spark.catalog.registry import (
     sql_split,
     sql_template,
     sql_vocab,
+    sql_words,
     table,
     turn_pairs,
 )
@@ -28,12 +28,14 @@ from corpus_spark.constants import (
     EOS_ID,
     LABEL_TO_TARGET,
     SEQ2SEQ_OPTIONS,
-    SEQ2SEQ_PROMPTS,
+    SEQ2SEQ_PROMPT,
     TARGET_TO_LABEL,
     TRAIN_OPTIONS,
-    TRAIN_PROMPTS,
+    TRAIN_PROMPT,
+    UNK_ID,
 )
 from corpus_spark.functions import attention_mask, join_ids
+from corpus_spark.functions.text import tokens
 from corpus_spark.operators import metrics as M
 from corpus_spark.operators import packing as P
 from corpus_spark.operators import tokens as K
@@ -47,7 +49,7 @@ from corpus_spark.sources import spread
 
 DOC_TEXTS = "SELECT text FROM documents"
 TURN_TEXTS = "SELECT text FROM conversations"
-PROMPT_SQL = sql_template(TRAIN_PROMPTS[2], options_=lit(TRAIN_OPTIONS), sentence1="text")
+PROMPT_SQL = sql_template(TRAIN_PROMPT, options_=lit(TRAIN_OPTIONS), sentence1="text")
 TURNS_SQL = "turns AS (SELECT *, conv_id || ':' || turn AS rid FROM conversations)"
 
 
@@ -60,11 +62,11 @@ def _turns(spark, sf_dir) -> DataFrame:
     return turns.withColumn("rid", F.concat_ws(":", "conv_id", "turn"))
 
 
-def _doc_vocab(spark, sf_dir, size: int | None = VOCAB_SIZE) -> DataFrame:
+def _doc_vocab(spark, sf_dir, size: int | None = None) -> DataFrame:
     return K.build_vocab(_documents(spark, sf_dir), "text", max_size=size)
 
 
-def _turn_vocab(spark, sf_dir, size: int | None = VOCAB_SIZE) -> DataFrame:
+def _turn_vocab(spark, sf_dir, size: int | None = None) -> DataFrame:
     return K.build_vocab(_turns(spark, sf_dir), "text", max_size=size)
 
 
@@ -84,7 +86,18 @@ def _nested_text(df: DataFrame, *arrays: str) -> DataFrame:
 
 @query(f"WITH {sql_vocab(DOC_TEXTS)} SELECT token, id, n FROM voc")
 def vocab(spark, sf_dir):
-    return _doc_vocab(spark, sf_dir, size=None)
+    return _doc_vocab(spark, sf_dir)
+
+
+@query(
+    f"WITH {sql_vocab(DOC_TEXTS, 5000)}, {sql_encode('enc', 'documents', 'doc_id', 'text', 'ids')}"
+    f" SELECT doc_id, len(list_filter(ids, lambda x: x = 1))::INTEGER AS unknown, len(ids)::INTEGER AS size FROM enc"
+)
+def encode_capped(spark, sf_dir):
+    """A vocabulary of limited size: how much of each text it misses."""
+    docs = K.encode(_documents(spark, sf_dir), "text", _doc_vocab(spark, sf_dir, 5000), "ids")
+    missed = F.size(F.filter("ids", lambda x: x == F.lit(UNK_ID)))
+    return docs.select("doc_id", missed.alias("unknown"), F.size("ids").alias("size"))
 
 
 @query(
@@ -100,17 +113,20 @@ def char_vocab(spark, sf_dir):
     """WITH v AS (
       SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id, count(*) AS n
       FROM (SELECT unnest(string_split(text, '')) AS token FROM conversations) GROUP BY token)
-    SELECT * FROM v
-    UNION ALL SELECT '[PAD]', (SELECT max(id) + 1 FROM v), 0
-    UNION ALL SELECT '</s>', (SELECT max(id) + 2 FROM v), 0"""
+    SELECT *, '' AS roles, 2 AS added FROM v
+    UNION ALL SELECT '[PAD]', (SELECT max(id) + 1 FROM v), 0, 'pad', 2
+    UNION ALL SELECT '</s>', (SELECT max(id) + 2 FROM v), 0, 'bos eos unk', 2"""
 )
 def vocab_specials(spark, sf_dir):
+    """The vocabulary with its special tokens, their roles and how many were missing."""
     plain = K.build_vocab(_turns(spark, sf_dir), "text", mode="char", roles=())
-    return K.ensure_specials(plain)[0]
+    full, ids, added = K.ensure_specials(plain)
+    roles = F.array(*[F.when(F.col("id") == i, F.lit(role)) for role, i in sorted(ids.items())])
+    return full.withColumns({"roles": F.array_join(roles, " "), "added": F.lit(added)})
 
 
 @query(
-    f"WITH {sql_vocab(DOC_TEXTS, VOCAB_SIZE)}, {sql_encode('enc', 'documents', 'doc_id', 'text', 'ids')}"
+    f"WITH {sql_vocab(DOC_TEXTS)}, {sql_encode('enc', 'documents', 'doc_id', 'text', 'ids')}"
     f" SELECT doc_id, {sql_join('ids')} AS ids FROM enc"
 )
 def encode(spark, sf_dir):
@@ -119,7 +135,7 @@ def encode(spark, sf_dir):
 
 
 @query(
-    f"WITH {sql_vocab(DOC_TEXTS, VOCAB_SIZE)}, {sql_encode('enc', 'documents', 'doc_id', 'text', 'ids', 128)}"
+    f"WITH {sql_vocab(DOC_TEXTS)}, {sql_encode('enc', 'documents', 'doc_id', 'text', 'ids', 128)}"
     f" SELECT doc_id, {sql_join('ids')} AS ids FROM enc"
 )
 def encode_truncated(spark, sf_dir):
@@ -133,10 +149,10 @@ def encode_truncated(spark, sf_dir):
 )
 def decode(spark, sf_dir):
     """Text to ids and back with the whole vocabulary."""
-    words = _doc_vocab(spark, sf_dir, size=None)
-    ids = K.encode(_documents(spark, sf_dir), "text", words, row_key=["doc_id"])
+    words = _doc_vocab(spark, sf_dir)
+    ids = K.encode(_documents(spark, sf_dir), "text", words)
     saved = materialize(ids.select("doc_id", "input_ids"), "ids")
-    back = K.decode(saved, "input_ids", words, row_key=["doc_id"])
+    back = K.decode(saved, "input_ids", words)
     return back.select("doc_id", "decoded")
 
 
@@ -171,7 +187,7 @@ def map_batches(spark, sf_dir):
 # --- supervised labels -----------------------------------------------------
 
 PAIR_PROMPT_SQL = sql_template(
-    TRAIN_PROMPTS[2], options_=lit(TRAIN_OPTIONS), sentence1="question"
+    TRAIN_PROMPT, options_=lit(TRAIN_OPTIONS), sentence1="question"
 )
 SOURCES_SQL = f"""
 st AS (SELECT rid, {PAIR_PROMPT_SQL} AS sources, reply || '</s>' AS targets,
@@ -189,7 +205,7 @@ def _pairs(spark, sf_dir) -> DataFrame:
 
 @query(
     f"""WITH {PAIRS_SQL}, {SOURCES_SQL},
-    {sql_vocab('SELECT whole AS text FROM st', VOCAB_SIZE, specials=True)},
+    {sql_vocab('SELECT whole AS text FROM st', specials=True)},
     {sql_encode('e1', 'st', 'rid', 'whole', 'ids', 128, specials=True)},
     {sql_encode('e2', 'e1', 'rid', 'sources', 'src', 128, specials=True)}
     SELECT rid, {sql_join('ids')} AS input_ids,
@@ -199,7 +215,7 @@ def _pairs(spark, sf_dir) -> DataFrame:
 def sft_labels(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
     words = K.build_vocab(
-        pairs.select(F.concat("sources", "targets").alias("text")), "text", max_size=VOCAB_SIZE
+        pairs.select(F.concat("sources", "targets").alias("text")), "text"
     )
     rows = K.sft_encode(pairs, "sources", "targets", words, 128, specials=["</s>"])
     return _text_columns(rows.select("rid", "input_ids", "labels"), "input_ids", "labels")
@@ -207,7 +223,7 @@ def sft_labels(spark, sf_dir):
 
 @query(
     f"""WITH {PAIRS_SQL}, {SOURCES_SQL},
-    {sql_vocab('SELECT whole AS text FROM st', VOCAB_SIZE, specials=True)},
+    {sql_vocab('SELECT whole AS text FROM st', specials=True)},
     {sql_encode('e1', 'st', 'rid', 'sources', 's', None, specials=True)},
     {sql_encode('e2', 'e1', 'rid', 'targets', 't', None, specials=True)}
     SELECT rid, {sql_join('list_slice(list_concat(s, t), 1, 128)')} AS input_ids,
@@ -217,20 +233,20 @@ def sft_labels(spark, sf_dir):
 def sft_labels_concat(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
     words = K.build_vocab(
-        pairs.select(F.concat("sources", "targets").alias("text")), "text", max_size=VOCAB_SIZE
+        pairs.select(F.concat("sources", "targets").alias("text")), "text"
     )
     rows = K.sft_encode_concat(pairs, "sources", "targets", words, 128, specials=["</s>"])
     return _text_columns(rows.select("rid", "input_ids", "labels"), "input_ids", "labels")
 
 
 @query(
-    f"""WITH {TURNS_SQL}, {sql_vocab(TURN_TEXTS, VOCAB_SIZE)},
-    {sql_encode('enc', 'turns', 'rid', 'text', 'ids', 64)},
+    f"""WITH {TURNS_SQL}, {sql_vocab(TURN_TEXTS)},
+    {sql_encode('enc', 'turns', 'rid', 'text', 'ids')},
     p AS (SELECT rid, {sql_pad('ids', 64, 0)} AS ids FROM enc)
     SELECT rid, {sql_join('ids')} AS input_ids, {sql_join(sql_mask('ids'))} AS attention_mask FROM p"""
 )
 def pad_mask(spark, sf_dir):
-    turns = K.encode(_turns(spark, sf_dir), "text", _turn_vocab(spark, sf_dir), max_len=64)
+    turns = K.encode(_turns(spark, sf_dir), "text", _turn_vocab(spark, sf_dir))
     padded = P.pad_columns(turns.select("rid", "input_ids"), {"input_ids": 0}, 64)
     padded = padded.withColumn("attention_mask", attention_mask(F.col("input_ids"), 0))
     return _text_columns(padded, "input_ids", "attention_mask")
@@ -259,7 +275,7 @@ blocks AS (
 
 
 @query(
-    f"WITH {sql_vocab(DOC_TEXTS, VOCAB_SIZE)}, {sql_encode('enc', 'documents', 'doc_id', 'text', 'ids')},"
+    f"WITH {sql_vocab(DOC_TEXTS)}, {sql_encode('enc', 'documents', 'doc_id', 'text', 'ids')},"
     f" {sql_blocks('enc', 64, 100, True)} SELECT batch, block, input_ids FROM blocks"
 )
 def pack_blocks(spark, sf_dir):
@@ -269,7 +285,7 @@ def pack_blocks(spark, sf_dir):
 
 
 @query(
-    f"""WITH {sql_vocab(DOC_TEXTS, VOCAB_SIZE)}, {sql_encode('enc', 'documents', 'doc_id', 'text', 'ids')},
+    f"""WITH {sql_vocab(DOC_TEXTS)}, {sql_encode('enc', 'documents', 'doc_id', 'text', 'ids')},
     {sql_blocks('enc', 62, 100, True)} SELECT batch, block, '101 ' || input_ids || ' 102' AS input_ids FROM blocks"""
 )
 def pack_wrapped(spark, sf_dir):
@@ -279,7 +295,7 @@ def pack_wrapped(spark, sf_dir):
 
 
 @query(
-    f"""WITH {sql_vocab(DOC_TEXTS, VOCAB_SIZE)}, {sql_encode('e0', 'documents', 'doc_id', 'text', 'raw')},
+    f"""WITH {sql_vocab(DOC_TEXTS)}, {sql_encode('e0', 'documents', 'doc_id', 'text', 'raw')},
     enc AS (SELECT doc_id, list_append(raw, 1) AS ids FROM e0),
     {sql_blocks('enc', 64, 100, False)} SELECT batch, block, input_ids FROM blocks"""
 )
@@ -319,7 +335,7 @@ def batch_shuffled(spark, sf_dir):
 
 
 TURN_BATCHES_SQL = f"""
-{TURNS_SQL}, {sql_vocab(TURN_TEXTS, VOCAB_SIZE)},
+{TURNS_SQL}, {sql_vocab(TURN_TEXTS)},
 {sql_encode('enc', 'turns', 'rid', 'text', 'ids')},
 bat AS (
   SELECT *, (row_number() OVER (ORDER BY conv_id, turn) - 1) // 8 AS batch FROM enc),
@@ -370,7 +386,7 @@ def _split_labelled(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    f"""WITH {SPLIT_LABELLED_SQL}, {sql_vocab('SELECT text FROM labelled', VOCAB_SIZE)},
+    f"""WITH {SPLIT_LABELLED_SQL}, {sql_vocab('SELECT text FROM labelled')},
     {sql_encode('enc', 'sp', 'doc_id', 'text', 'ids', 128)},
     r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS rn FROM enc)
     SELECT doc_id, split, {sql_join('ids')} AS input_ids, {sql_join(sql_mask('ids'))} AS attention_mask,
@@ -378,7 +394,7 @@ def _split_labelled(spark, sf_dir) -> DataFrame:
 )
 def classifier_rows(spark, sf_dir):
     rows = _split_labelled(spark, sf_dir)
-    words = K.build_vocab(rows, "text", max_size=VOCAB_SIZE)
+    words = K.build_vocab(rows, "text")
     data = T.classifier_data(
         rows, "text", "quality", "doc_id", words, 128, {"validation": 20, "test": 20}
     )
@@ -386,7 +402,7 @@ def classifier_rows(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SPLIT_LABELLED_SQL}, {sql_vocab('SELECT text FROM labelled', VOCAB_SIZE)},
+    f"""WITH {SPLIT_LABELLED_SQL}, {sql_vocab('SELECT text FROM labelled')},
     {sql_encode('enc', 'sp', 'doc_id', 'text', 'ids', 256)},
     p AS (SELECT * REPLACE ({sql_pad('ids', 256, 0)} AS ids) FROM enc)
     SELECT doc_id, split, {sql_join('ids')} AS input_ids, {sql_join(sql_mask('ids'))} AS attention_mask,
@@ -395,7 +411,7 @@ def classifier_rows(spark, sf_dir):
 def long_classifier_rows(spark, sf_dir):
     """Text labels are coded and every row is padded to the model's length."""
     rows = decode_label(_split_labelled(spark, sf_dir), LABEL_TO_TARGET, "quality", "target")
-    words = K.build_vocab(rows, "text", max_size=VOCAB_SIZE)
+    words = K.build_vocab(rows, "text")
     data = T.classifier_data(
         rows, "text", "target", "doc_id", words, 256, label_mapping=TARGET_TO_LABEL, pad_to=256
     )
@@ -405,7 +421,7 @@ def long_classifier_rows(spark, sf_dir):
 @query(
     f"""WITH {SPLIT_LABELLED_SQL},
     st AS (SELECT doc_id, split, {PROMPT_SQL} AS sources, {PROMPT_SQL} || quality || '</s>' AS whole FROM sp),
-    {sql_vocab('SELECT text FROM labelled', VOCAB_SIZE)},
+    {sql_vocab('SELECT text FROM labelled')},
     {sql_encode('e1', 'st', 'doc_id', 'whole', 'ids', 256, specials=True)},
     {sql_encode('e2', 'e1', 'doc_id', 'sources', 'src', 256, specials=True)}
     SELECT doc_id, split, {sql_join('ids')} AS input_ids,
@@ -414,7 +430,7 @@ def long_classifier_rows(spark, sf_dir):
 )
 def sft_rows(spark, sf_dir):
     rows = _split_labelled(spark, sf_dir)
-    words = K.build_vocab(rows, "text", max_size=VOCAB_SIZE)
+    words = K.build_vocab(rows, "text")
     data = T.sft_data(rows, "text", "quality", "doc_id", words, 256)
     return _text_columns(data, "input_ids", "labels")
 
@@ -422,7 +438,7 @@ def sft_rows(spark, sf_dir):
 @query(
     f"""WITH {LABELLED_SQL},
     st AS (SELECT doc_id, {PROMPT_SQL} AS sources, {PROMPT_SQL} || quality || '</s>' AS whole FROM labelled),
-    {sql_vocab('SELECT text FROM labelled', VOCAB_SIZE)},
+    {sql_vocab('SELECT text FROM labelled')},
     {sql_encode('e1', 'st', 'doc_id', 'whole', 'ids', 256, specials=True)},
     {sql_encode('e2', 'e1', 'doc_id', 'sources', 'src', 256, specials=True)},
     lab AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 4 AS batch,
@@ -435,14 +451,14 @@ def sft_rows(spark, sf_dir):
 )
 def sft_batches(spark, sf_dir):
     rows = labelled(spark, sf_dir).select("doc_id", "text", "quality", F.lit("train").alias("split"))
-    words = K.build_vocab(rows, "text", max_size=VOCAB_SIZE)
+    words = K.build_vocab(rows, "text")
     data = T.sft_data(rows, "text", "quality", "doc_id", words, 256)
     batches = T.sft_batches(data, "doc_id", 4).drop("n_rows")
     return _nested_text(batches, "input_ids", "labels", "attention_mask")
 
 
 @query(
-    f"""WITH {sql_split('sp', 'documents')}, {sql_vocab(DOC_TEXTS, VOCAB_SIZE)},
+    f"""WITH {sql_split('sp', 'documents')}, {sql_vocab(DOC_TEXTS)},
     {sql_encode('enc', 'sp', 'doc_id', 'text', 'ids')}, {sql_blocks('enc', 128, 100, True, 'split')}
     SELECT split, batch, block, input_ids, input_ids AS labels FROM blocks"""
 )
@@ -455,23 +471,26 @@ def pretrain_rows(spark, sf_dir):
 
 
 @query(
-    f"""WITH {sql_split('sp', 'documents')}, {sql_vocab(DOC_TEXTS, VOCAB_SIZE)},
+    f"""WITH {sql_split('sp', 'documents')}, {sql_vocab(DOC_TEXTS)},
     pr AS (SELECT doc_id, split, {PROMPT_SQL} AS prompt FROM sp WHERE split <> 'test'),
     {sql_encode('e0', 'pr', 'doc_id', 'prompt', 'raw')},
     enc AS (SELECT doc_id, split, list_append(raw, 1) AS ids FROM e0),
-    {sql_blocks('enc', 128, 100, False, 'split')}
-    SELECT split, batch, block, input_ids FROM blocks"""
+    {sql_blocks('enc', 128, 100, False, 'split')},
+    rat AS (SELECT round(sum(length(prompt))::DOUBLE / sum(len({sql_words('prompt')})), 6) AS ratio
+      FROM (SELECT prompt FROM pr WHERE split = 'train' ORDER BY doc_id LIMIT 400))
+    SELECT split, batch, block, input_ids, (SELECT ratio FROM rat) AS ratio FROM blocks"""
 )
 def constant_length_rows(spark, sf_dir):
     rows = split_exact(_documents(spark, sf_dir), "doc_id")
-    data, _ = T.constant_length_data(
+    data, ratio = T.constant_length_data(
         rows, "text", "doc_id", _doc_vocab(spark, sf_dir), 128, batch_rows=100
     )
-    return _text_columns(data.drop("labels"), "input_ids")
+    blocks = data.drop("labels").withColumn("ratio", ratio.select(F.round("ratio", 6)).scalar())
+    return _text_columns(blocks, "input_ids")
 
 
 @query(
-    f"""WITH {sql_vocab(DOC_TEXTS, VOCAB_SIZE)},
+    f"""WITH {sql_vocab(DOC_TEXTS)},
     pr AS (SELECT doc_id, {PROMPT_SQL} AS prompt FROM documents),
     {sql_encode('enc', 'pr', 'doc_id', 'prompt', 'ids', 128)},
     p AS (SELECT doc_id, {sql_pad('ids', 128, 0)} AS ids FROM enc)
@@ -485,12 +504,12 @@ def preference_rows(spark, sf_dir):
 
 
 SEQ2SEQ_SQL = sql_template(
-    SEQ2SEQ_PROMPTS[2], options_=lit(SEQ2SEQ_OPTIONS), sentence1="question"
+    SEQ2SEQ_PROMPT, options_=lit(SEQ2SEQ_OPTIONS), sentence1="question"
 )
 
 
 @query(
-    f"""WITH {PAIRS_SQL}, {sql_vocab(TURN_TEXTS, VOCAB_SIZE)},
+    f"""WITH {PAIRS_SQL}, {sql_vocab(TURN_TEXTS)},
     st AS (SELECT rid, {SEQ2SEQ_SQL} AS prompt, reply FROM pairs),
     {sql_encode('e1', 'st', 'rid', 'prompt', 'ids', 128)},
     {sql_encode('e2', 'e1', 'rid', 'reply', 'lab', 128)},
@@ -530,5 +549,6 @@ def chars_per_token(spark, sf_dir):
     FROM (UNPIVOT m ON "rows", "min", "mean", "max", p50, p90, p99 INTO NAME metric VALUE value)"""
 )
 def seq_len_stats(spark, sf_dir):
-    ids = K.encode(_documents(spark, sf_dir), "text", _doc_vocab(spark, sf_dir))
-    return M.length_report(ids, "input_ids").withColumn("value", F.round("value", 6))
+    """Lengths by the tokeniser alone: ids are not needed to count them."""
+    cut = _documents(spark, sf_dir).select(tokens(F.col("text"), "word", K.special_names()).alias("tokens"))
+    return M.length_report(cut, "tokens").withColumn("value", F.round("value", 6))

@@ -16,12 +16,8 @@ INPUT_MAX_LENGTH = 512
 
 # Templates for training rows.
 TRAIN_OPTIONS = "选项:\n0\n1"
-TRAIN_PROMPTS = (
-    "summarize this article: {sentence1}",
-    "rewrite this article: {sentence1}",
-    "### 指示:下面这篇文章是谁写的?\n{options_}\n\n### 输入:{sentence1}\n\n### 回答:",
-    "Is the following article written by ai or human?\n{options_}\n{sentence1}",
-)
+SUMMARY_PROMPT = "summarize this article: {sentence1}"
+TRAIN_PROMPT = "### 指示:下面这篇文章是谁写的?\n{options_}\n\n### 输入:{sentence1}\n\n### 回答:"
 INSTRUCTION_TEMPLATE = (
     "Below is an instruction that describes a task. "
     "Write a response that appropriately completes the request.\n\n"
@@ -30,12 +26,7 @@ INSTRUCTION_TEMPLATE = (
 
 # Templates for sequence-to-sequence rows.
 SEQ2SEQ_OPTIONS = "选项:ai写的,人类写的"
-SEQ2SEQ_PROMPTS = (
-    "summarize this article: {sentence1}",
-    "rewrite this article: {sentence1}",
-    "下面这篇文章是AI写的还是人类写的?{options_}。{sentence1}",
-    "Is the following article written by ai or human?\n{sentence1}\n{options_}",
-)
+SEQ2SEQ_PROMPT = "下面这篇文章是AI写的还是人类写的?{options_}。{sentence1}"
 
 # Templates and answer marker for inference text.
 INFERENCE_PROMPT = "### 指示:下面这篇文章是谁写的?{options_}\n\n### 输入:{sentence1}\n\n### 回答:\n"

@@ -1,7 +1,9 @@
 """Positions, cut points, exact splits, balance and samples.
 
 A DataFrame has no row order, so every positional operator takes ``order_by``:
-ascending columns that together are unique and not NULL. Nothing here sorts the
+ascending columns that together are unique. NULL comes first, as in any Spark sort.
+Rows that the ordering cannot tell apart are an error where their order matters, at
+any size. Nothing here sorts the
 data in one task. A narrow table of the keys is written once; a hash sample of
 it gives split points, exact counts between them give running totals, and a row
 is numbered inside its own range.
@@ -16,6 +18,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -210,15 +214,17 @@ def positions(
     name: str = "pos",
     keep_bucket: bool = False,
     bucket_rows: int | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """Add the exact 0-based position of every row, optionally per group.
 
+    ``written`` says that ``df`` is a stored table, whose keys need no copy.
     ``within`` names a column of few values, such as the split; its groups may
     be of any size. With ``align`` no batch of that many rows crosses a range,
     so a later grouping by (``_bucket``, batch) needs no further shuffle.
     """
     keyed, names, groups = _with_keys(df, order_by, within)
-    keys = materialize(keyed.select(*names), "keys")
+    keys = keyed.select(*names) if written else materialize(keyed.select(*names), "keys")
     ranges, rows = _ranges(keys, names, groups, None, NARROW_BUCKET_ROWS)
     parts = _bucket_total(rows, bucket_rows or BUCKET_ROWS)
     if parts > 1 or rows > NARROW_BUCKET_ROWS:
@@ -228,7 +234,10 @@ def positions(
         found = _without_ties(starts.orderBy(*names).select(*names, "_pos", "_tie").collect())
         bounds = [Row(*r[:-2]) for r in found]
         ranges = _Ranges(names, bounds, [[0]] + [[r["_pos"]] for r in found])
-    numbered = _numbered(keyed, ranges, name).drop(*names)
+    numbered = _numbered(keyed, ranges, name, flag_ties=True)
+    tied = F.raise_error(F.concat(F.lit("order_by is not unique around position "), F.col(name).cast("string")))
+    numbered = numbered.withColumn(name, F.when(F.col("_tie"), tied.cast("bigint")).otherwise(F.col(name)))
+    numbered = numbered.drop("_tie", *names)
     return numbered if keep_bucket else numbered.drop("_bucket")
 
 
@@ -290,11 +299,24 @@ def _keys_at(keys: DataFrame, names: list[str], wanted: Sequence[int], bucket_ro
 
 
 def _before(columns: list[Column], cut: Row, types: list[T.DataType]) -> Column:
-    """True for rows whose key sorts before the cut."""
+    """True for rows whose key sorts before the cut; NULL sorts first."""
     literals = [F.lit(v).cast(t) for v, t in zip(cut, types)]
-    result = columns[-1] < literals[-1]
-    for column, literal in list(zip(columns, literals))[-2::-1]:
-        result = (column < literal) | ((column == literal) & result)
+    result = F.lit(False)
+    for column, literal, value in list(zip(columns, literals, cut))[::-1]:
+        if value is None:
+            result = column.isNull() & result
+        else:
+            result = column.isNull() | (column < literal) | ((column == literal) & result)
+            result = F.coalesce(result, F.lit(False))
+    return result
+
+
+def _before_columns(columns: list[Column], cuts: list[Column]) -> Column:
+    """The same for cuts that are columns."""
+    result = F.lit(False)
+    for column, cut in list(zip(columns, cuts))[::-1]:
+        less = cut.isNotNull() & (column.isNull() | F.coalesce(column < cut, F.lit(False)))
+        result = less | (column.eqNullSafe(cut) & result)
     return result
 
 
@@ -329,6 +351,9 @@ def head_n(
             raise ValueError(f"{n} rows wanted, {rows} present")
     columns = _columns(order_by)
     if n <= SORT_LIMIT:
+        top = df.select(F.struct(*columns).alias("k")).orderBy("k").limit(n + 1).collect()
+        if n and len(top) > n and top[n] == top[n - 1]:
+            raise ValueError(f"order_by is not unique around position {n}: add a key column")
         return df.orderBy(*columns).limit(n)
     keys, names = _key_table(df, order_by)
     cut = _keys_at(keys, names, [n], bucket_rows).get(n)
@@ -440,14 +465,15 @@ def take_per_group(
     """
     columns = _columns(order_by)
     table, names = _key_table(df, order_by, [group], written=keys)
-    named = table.where(F.col(group).isin(list(quotas)))
+    wanted = [F.col(group).eqNullSafe(F.lit(value)) for value in quotas]
+    named = table.where(reduce(or_, wanted, F.lit(False)))
     present = {r[0]: r[1] for r in group_counts(named, group).collect()}
     types = [table.schema[n].dataType for n in names]
     kept = F.lit(True)
     for value, quota in quotas.items():
         if present.get(value, 0) <= quota:
             continue
-        members = table.where(F.col(group) == F.lit(value))
+        members = table.where(F.col(group).eqNullSafe(F.lit(value)))
         cut = _keys_at(members, names, [quota], bucket_rows)[quota]
         kept = kept & (~F.col(group).eqNullSafe(F.lit(value)) | _before(columns, cut, types))
     return df.where(kept)
@@ -470,10 +496,25 @@ def balance_two(
 def balance(
     df: DataFrame, label: str, order_by: OrderBy, ratio: float = 1.0
 ) -> DataFrame:
-    """Cut every class to ``ratio`` times the size of the smallest class."""
-    present = {r[0]: r[1] for r in group_counts(df, label).collect()}
-    quota = math.floor(min(present.values(), default=0) * ratio)
-    return take_per_group(df, label, {value: quota for value in present}, order_by)
+    """Cut every class, NULL included, to ``ratio`` times the size of the smallest class.
+
+    The key at the cut of each class comes from one ranking of the narrow key table and
+    is joined to the rows, so the number of jobs does not depend on the classes.
+    """
+    columns = _columns(order_by)
+    keys, names = _key_table(df, order_by, [label])
+    keys = keys.withColumnsRenamed({n: f"_at{n}" for n in names})  # positions has names of its own
+    names = [f"_at{n}" for n in names]
+    counts = group_counts(keys, label)
+    quota = math.floor((counts.agg(F.min("n")).first()[0] or 0) * ratio)
+    placed = positions(keys, [label, *names], name="_pos", written=True)
+    starts = placed.groupBy(label).agg(F.min("_pos").alias("_start")).withColumnRenamed(label, "_class")
+    ranked = placed.join(starts, F.col(label).eqNullSafe(F.col("_class")))
+    cuts = ranked.where(F.col("_pos") - F.col("_start") == quota)
+    cuts = cuts.select("_class", F.struct(*names).alias("_cut"))
+    joined = df.join(cuts, F.col(label).eqNullSafe(F.col("_class")), "left")
+    kept = F.col("_cut").isNull() | _before_columns(columns, [F.col(f"_cut.{n}") for n in names])
+    return joined.where(kept).select(*df.columns)
 
 
 # --- order statistics ------------------------------------------------------

@@ -147,7 +147,7 @@ def pack_wrapped(
     marked = placed.withColumns(
         {
             "_first": F.first(F.get(F.col(ids), F.lit(0))).over(running),
-            "_last": F.first(F.element_at(F.col(ids), -1)).over(running),
+            "_last": F.first(F.try_element_at(F.col(ids), F.lit(-1))).over(running),
         }
     )
     inner = F.slice(F.col(ids), 2, F.greatest(F.size(ids) - 2, F.lit(0)))

@@ -1,9 +1,9 @@
 """Vocabulary, encoding and supervised labels.
 
 A lookup is narrow: the frequent part of the vocabulary, whose size is bounded
-by its ids, becomes one array of small maps that every task probes inside the
-projection. Only tokens outside that part are joined, and they cannot be hot in
-the corpus the vocabulary was learnt from; the join is salted all the same.
+in entries and bytes, becomes one array of small maps that every task probes
+inside the projection. Only tokens outside that part are joined, whatever the
+size of the vocabulary.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ __all__ = [
 ]
 
 HEAD_ENTRIES = 262_144
+HEAD_BYTES = 64
 LOOKUP_SLOTS = 65_536
-TAIL_SALTS = 8
 
 
 def special_names(roles: Sequence[tuple[str, str]] = SPECIAL_TOKENS) -> list[str]:
@@ -63,7 +63,7 @@ def build_vocab(
     room = None if max_size is None else max(max_size - len(specials), 0)
     if room is not None:
         counts = _frequent(counts, room)
-    learnt = positions(counts, [-F.col("n"), F.col("token")], name="id", bucket_rows=NARROW_BUCKET_ROWS)
+    learnt = positions(counts, [-F.col("n"), F.col("token")], name="id", bucket_rows=NARROW_BUCKET_ROWS, written=True)
     if room is not None:
         learnt = learnt.where(F.col("id") < room)
     learnt = learnt.select("token", (F.col("id") + len(specials)).alias("id"), "n")
@@ -112,17 +112,17 @@ def ensure_specials(
     return vocab, {role: ids[token] for role, token in wanted}, len(missing)
 
 
-def _slot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(LOOKUP_SLOTS)).cast("int")
+def _slot(key: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
 
 
-def _head_lookup(head: DataFrame, key: str, value: str) -> Column:
+def _head_lookup(head: DataFrame, key: str, value: str, slots: int) -> Column:
     """One array of small maps, addressed by the hash of the key."""
     entry = F.struct(F.col(key), F.col(value))
-    filled = head.groupBy(_slot(F.col(key)).alias("slot")).agg(
+    filled = head.groupBy(_slot(F.col(key), slots).alias("slot")).agg(
         F.map_from_entries(F.collect_list(entry)).alias("entries")
     )
-    every = head.sparkSession.range(LOOKUP_SLOTS).select(F.col("id").cast("int").alias("slot"))
+    every = head.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
     ordered = F.array_sort(
         F.collect_list(F.struct("slot", "entries")), lambda a, b: a["slot"] - b["slot"]
     )
@@ -141,51 +141,51 @@ def lookup_list(
     value: str,
     out: str,
     default: Column,
-    row_key: Sequence[str] | None = None,
     head_entries: int | None = None,
 ) -> DataFrame:
     """Replace every item of an array through a (key, value) table with dense ids.
 
-    ``row_key`` is needed only for a table with more than ``head_entries`` ids:
-    the items that the probe misses are then joined and put back by position.
+    Items outside the head of the table are joined and put back by position. For that
+    the probed rows are written once, with a number of their own: the texts are read
+    and cut once, and rows may repeat. Rows without such items are not moved.
     """
     head_entries = head_entries or HEAD_ENTRIES
-    tail = table.where(F.col("id") >= head_entries)
-    head = table.where(F.col("id") < head_entries)
-    mapped = df.withColumn("_lookup", _head_lookup(head, key, value))
+    in_head = F.col("id") < head_entries
+    for text in (key, value):
+        if table.schema[text].dataType.simpleString() == "string":
+            in_head = in_head & (F.octet_length(text) <= HEAD_BYTES)
+    tail, head = table.where(~in_head), table.where(in_head)
+    slots = max(64, min(LOOKUP_SLOTS, head.count() // 4))
+    mapped = df.withColumn("_lookup", _head_lookup(head, key, value, slots))
 
     def probe(item: Column) -> Column:
-        return F.try_element_at(F.get(F.col("_lookup"), _slot(item)), item)
+        return F.try_element_at(F.get(F.col("_lookup"), _slot(item, slots)), item)
 
     if tail.isEmpty():
         found = F.transform(items, lambda x: F.coalesce(probe(x), default))
         return mapped.withColumn(out, found).drop("_lookup")
-    if not row_key:
-        raise ValueError("a table of this size needs row_key")
 
     mapped = mapped.withColumn("_items", items).withColumn("_found", F.transform("_items", probe))
-    mapped = mapped.drop("_lookup")
-
-    # Too large to broadcast, whatever the estimate behind the salts says: merge join.
-
     paired = F.zip_with(
         "_items", "_found", lambda item, hit: F.struct(item.alias("item"), hit.alias("hit"))
     )
     placed = F.transform(
         paired, lambda x, i: F.struct(i.alias("pos"), x["item"].alias("item"), x["hit"].alias("hit"))
     )
-    misses = mapped.select(
-        *row_key, F.explode(F.filter(placed, lambda r: r["hit"].isNull())).alias("miss")
-    ).select(*row_key, "miss.pos", "miss.item")
-    salts = F.array(*[F.lit(i) for i in range(TAIL_SALTS)])
-    salted = tail.select(
-        F.col(key).alias("item"), F.col(value).alias("late"), F.explode(salts).alias("salt")
+    missed = F.transform(
+        F.filter(placed, lambda r: r["hit"].isNull()), lambda r: F.struct(r["pos"], r["item"])
     )
-    salt = F.pmod(F.xxhash64(*row_key, "pos"), F.lit(TAIL_SALTS)).cast("int")
+    mapped = mapped.withColumns({"_row": F.monotonically_increasing_id(), "_missed": missed})
+    written = materialize(mapped.drop("_lookup", "_items"), "probed")
+    whole = F.coalesce(F.size("_missed"), F.lit(0)) == 0
+
+    # Too large to broadcast, whatever an estimate says: merge join. A frequent item that
+    # the table lacks makes a large partition, which adaptive execution splits.
+    misses = written.where(~whole).select("_row", F.explode("_missed").alias("miss")).select("_row", "miss.*")
+    rest = tail.select(F.col(key).alias("item"), F.col(value).alias("late"))
     late = (
-        misses.withColumn("salt", salt)
-        .join(salted.hint("merge"), ["item", "salt"], "left")
-        .groupBy(*row_key)
+        misses.join(rest.hint("merge"), "item", "left")
+        .groupBy("_row")
         .agg(F.collect_list(F.struct("pos", F.coalesce("late", default).alias("hit"))).alias("_late"))
     )
     known = F.filter(
@@ -193,11 +193,10 @@ def lookup_list(
         lambda r: r["hit"].isNotNull(),
     )
     merged = F.transform(F.array_sort(F.concat(known, F.col("_late"))), lambda r: r["hit"])
-    return (
-        mapped.join(late, list(row_key), "left")
-        .withColumn(out, F.when(F.col("_late").isNull(), F.col("_found")).otherwise(merged))
-        .drop("_items", "_found", "_late")
-    )
+    columns = [c for c in df.columns if c != out]
+    complete = written.where(whole).select(*columns, F.col("_found").alias(out))
+    mended = written.where(~whole).drop("_missed").join(late, "_row").select(*columns, merged.alias(out))
+    return complete.unionByName(mended)
 
 
 def _wrap_and_cut(
@@ -221,20 +220,20 @@ def encode(
     unk_id: int = UNK_ID,
     bos_id: int | None = None,
     eos_id: int | None = None,
-    specials: Sequence[str] = (),
-    row_key: Sequence[str] | None = None,
+    specials: Sequence[str] | None = None,
     tokenizer: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Add the token ids of a text column, optionally cut to ``max_len``.
 
+    The text is cut up as ``build_vocab`` does it, with the same special tokens by default.
     ``tokenizer`` (see ``token_udf``) replaces the learnt vocabulary.
     """
     if tokenizer is not None:
         df = df.withColumn(out, tokenizer(F.col(column)).cast("array<bigint>"))
     else:
-        words = tokens(F.col(column), mode, specials)
+        words = tokens(F.col(column), mode, special_names() if specials is None else specials)
         unknown = F.lit(unk_id).cast("bigint")
-        df = lookup_list(df, words, vocab, "token", "id", out, unknown, row_key)
+        df = lookup_list(df, words, vocab, "token", "id", out, unknown)
     return df.withColumn(out, _wrap_and_cut(F.col(out), max_len, bos_id, eos_id))
 
 
@@ -247,13 +246,12 @@ def decode(
     mode: str = "word",
     skip_ids: Sequence[int] = (),
     unk_token: str = "</s>",
-    row_key: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add the tokens of an id column and, unless ``joined`` is None, their text."""
     source = F.transform(F.col(ids), lambda x: x.cast("bigint"))
     if skip_ids:
         source = F.filter(source, lambda x: ~x.isin(list(skip_ids)))
-    df = lookup_list(df, source, vocab, "id", "token", out, F.lit(unk_token), row_key)
+    df = lookup_list(df, source, vocab, "id", "token", out, F.lit(unk_token))
     if joined is None:
         return df
     return df.withColumn(joined, F.array_join(out, "" if mode == "char" else " "))

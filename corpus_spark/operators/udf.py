@@ -11,16 +11,7 @@ from pyspark.sql import types as T
 
 from corpus_spark.constants import MAP_BATCH_ROWS
 
-__all__ = ["map_rows", "map_batches", "filter_rows", "token_udf", "apply_metrics"]
-
-
-def map_rows(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A row-to-row function written with columns."""
-    return df.transform(fn)
-
-
-def filter_rows(df: DataFrame, predicate: Column) -> DataFrame:
-    return df.where(predicate)
+__all__ = ["map_batches", "token_udf", "apply_metrics"]
 
 
 def map_batches(

@@ -31,8 +31,8 @@ from corpus_spark.operators.schema import (
     repack_filter,
     union_sources,
 )
-from corpus_spark.session import materialize
-from corpus_spark.sources.readers import read_any
+from corpus_spark.session import materialize, scratch_scope
+from corpus_spark.sources.readers import read_any, read_named
 from corpus_spark.sources.sinks import publish
 
 __all__ = [
@@ -46,11 +46,27 @@ __all__ = [
 ]
 
 
+KEY_RUN = 100_000
+
+
 def with_row_key(df: DataFrame, key: str) -> DataFrame:
-    """The table itself if it has the key, else a written copy numbered in read order."""
+    """The table itself if it has the key, else a written copy with one made from the values.
+
+    The key is a hash of all columns and the number of the occurrence, so it depends
+    neither on the order nor on the partitions of the source. Equal rows are counted
+    before they move and multiplied again.
+    """
     if key in df.columns:
         return df
-    return materialize(df.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    values = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in df.columns]
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    runs = F.sequence(F.lit(0), F.expr(f"cast((_n - 1) div {KEY_RUN} as int)"))
+    counted = counted.withColumn("_run", F.explode(runs))
+    last = F.least(F.lit(KEY_RUN - 1), F.col("_n") - 1 - F.col("_run") * KEY_RUN)
+    counted = counted.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    number = (F.col("_run") * KEY_RUN + F.col("_i")).cast("string")
+    made = F.concat_ws(":", F.md5(F.concat_ws("\x1f", *values)), number)
+    return materialize(counted.withColumn(key, made).select(*df.columns, key), "numbered")
 
 
 def _split_and_trim(
@@ -145,7 +161,8 @@ def prompt_merge_and_split(
             _canonical(sources, key, text_candidates, label_candidates, "input", "label"), names
         )
     ]
-    rows = prompt_rows(union_sources(frames, "label"))
+    # Written once: the keys and the rows would each repack every text.
+    rows = materialize(prompt_rows(union_sources(frames, "label")), "repacked")
     return _split_and_trim(rows, key, train_length, SHUFFLE_SEED)
 
 
@@ -208,12 +225,18 @@ TASKS = {"MERGE_SPLIT_SAVE": _run_merge, "PROMPT_MERGE_SPLIT_SAVE": _run_prompt}
 
 
 def run_task(spark: SparkSession, cfg: CleanConfig) -> DataFrame:
-    """Run a cleaning task by name and publish its result where asked to."""
+    """Run a cleaning task by name; publish its result where asked to, then drop what it wrote on the way."""
     if cfg.task not in TASKS:
         raise ValueError(f"unknown task {cfg.task!r}, known: {sorted(TASKS)}")
-    result = TASKS[cfg.task](spark, cfg)
     if cfg.save:
-        if not cfg.target:
-            raise ValueError("a saved task needs a target name")
-        publish(result, cfg.root, cfg.target, cfg.revision)
-    return result
+        with scratch_scope(spark):
+            return _run_and_save(spark, cfg)
+    return TASKS[cfg.task](spark, cfg)
+
+
+def _run_and_save(spark: SparkSession, cfg: CleanConfig) -> DataFrame:
+    result = TASKS[cfg.task](spark, cfg)
+    if not cfg.target:
+        raise ValueError("a saved task needs a target name")
+    publish(result, cfg.root, cfg.target, cfg.revision)
+    return read_named(spark, cfg.root, cfg.target, revision=cfg.revision)

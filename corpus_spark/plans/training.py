@@ -17,9 +17,9 @@ from corpus_spark.constants import (
     PAD_ID,
     RATIO_EXAMPLES,
     SEQ2SEQ_OPTIONS,
-    SEQ2SEQ_PROMPTS,
+    SEQ2SEQ_PROMPT,
     TRAIN_OPTIONS,
-    TRAIN_PROMPTS,
+    TRAIN_PROMPT,
 )
 from corpus_spark.functions.arrays import attention_mask
 from corpus_spark.functions.text import fill_template, instruction_with_input
@@ -53,7 +53,7 @@ __all__ = [
 ]
 
 
-def train_prompt(text: Column, template: str = TRAIN_PROMPTS[2]) -> Column:
+def train_prompt(text: Column, template: str = TRAIN_PROMPT) -> Column:
     return fill_template(template, {"sentence1": text, "options_": TRAIN_OPTIONS})
 
 
@@ -72,7 +72,7 @@ def limit_splits(
 
 
 def source_target_pairs(
-    df: DataFrame, text: str, label: str, eos: str, template: str = TRAIN_PROMPTS[2]
+    df: DataFrame, text: str, label: str, eos: str, template: str = TRAIN_PROMPT
 ) -> DataFrame:
     """Add ``sources`` (the filled prompt) and ``targets`` (label and end marker)."""
     return df.withColumns(
@@ -223,7 +223,7 @@ def seq2seq_data(
 ) -> DataFrame:
     """Prompt ids and target ids per row, both cut and padded to ``max_len``."""
     prompt = fill_template(
-        SEQ2SEQ_PROMPTS[2], {"sentence1": F.col(text), "options_": SEQ2SEQ_OPTIONS}
+        SEQ2SEQ_PROMPT, {"sentence1": F.col(text), "options_": SEQ2SEQ_OPTIONS}
     )
     rows = df.select(*key, prompt.alias("prompt"), F.col(target).alias("target"))
     rows = encode(rows, "prompt", vocab, "input_ids", max_len=max_len, **options)

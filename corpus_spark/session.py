@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +40,7 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get(SCRATCH_CONF, None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not context.master.startswith("local"):
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise RuntimeError(f"set {SCRATCH_CONF} to a folder that every executor can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="corpus_spark-"))
     return context.getCheckpointDir()
@@ -50,7 +52,31 @@ def _scratch_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{_scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _scopes:
+        made.append(path)
+    return path
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch tables made inside, at the end; nothing built on them may be used later."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def drop_scratch(spark: SparkSession) -> bool:
@@ -58,8 +84,7 @@ def drop_scratch(spark: SparkSession) -> bool:
 
     Call it at the end of a job, when no table built on it is needed any more.
     """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return _delete(spark, _scratch_folder(spark))
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

@@ -46,14 +46,14 @@ def read_csv(
     path: str | Sequence[str],
     columns: Sequence[str] | None = None,
     schema: T.StructType | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
     infer_types: bool = False,
 ) -> DataFrame:
     """CSV with a header row, all columns STRING unless a schema is given.
 
     ``columns`` forces names by position and skips the header row.
-    ``infer_types`` finds column types in one more pass. Quoted line breaks need ``multi_line``, which reads a file in one task: store large
-    inputs as many files, or turn it off where texts hold no line break.
+    ``infer_types`` finds column types in one more pass. Quoted line breaks need ``multi_line``,
+    which reads a file in one task: store such inputs as many files.
     """
     reader = (
         spark.read.option("header", True)
@@ -94,11 +94,12 @@ def read_any(
     revision: str | None = None,
     schema: T.StructType | None = None,
     infer_types: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read ``source`` below ``root``: a file by its suffix, else a published dataset."""
     path = f"{root.rstrip('/')}/{source}"
     if source.endswith(".csv"):
-        return read_csv(spark, path, schema=schema, infer_types=infer_types)
+        return read_csv(spark, path, schema=schema, multi_line=multi_line, infer_types=infer_types)
     if source.endswith(".json"):
         return (spark.read.schema(schema) if schema else spark.read).json(path)
     if source.endswith(".txt"):

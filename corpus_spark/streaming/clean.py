@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpus_spark.constants import INPUT_MAX_LENGTH, SEPARATORS, SHUFFLE_SEED
+from corpus_spark.operators.order import shuffle_key
 from corpus_spark.operators.schema import canonical_columns, prompt_rows, repack_filter
 
 __all__ = ["clean_step", "hash_split", "clean_stream"]
@@ -17,9 +18,9 @@ __all__ = ["clean_step", "hash_split", "clean_stream"]
 def hash_split(seed: int, *key: str) -> Column:
     """Split of a row by its hash: 80/10/10 on average.
 
-    A stream has no total, so sizes are approximate; ``split_exact`` needs a batch.
+    The hash is the one that shuffles. A stream has no total, so sizes are approximate; ``split_exact`` needs a batch.
     """
-    place = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(10))
+    place = F.conv(F.substring(shuffle_key(seed, *key), 1, 8), 16, 10).cast("bigint") % 10
     return F.when(place < 8, "train").when(place == 8, "validation").otherwise("test")
 
 

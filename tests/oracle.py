@@ -18,15 +18,15 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _cell(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else repr(value + 0.0)
-    return value if value is None else str(value)
+    return "\0NULL" if value is None else str(value)
 
 
 def _rows(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted(tuple(_cell(r[i]) or "" for i in order) for r in rows)
+    return sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
-SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
+SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 def differences(df, con, sql) -> str | None:

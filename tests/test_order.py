@@ -156,3 +156,52 @@ def test_aligned_positions_need_unique_keys(spark, narrow):
         O.positions(hot, "k", align=10, bucket_rows=40)
     pos = O.positions(hot, ["k", "id"], align=10, bucket_rows=40)
     assert sorted(r.pos for r in pos.collect()) == list(range(300))
+
+
+@pytest.mark.parametrize("rows", [10, 100, 3000])
+def test_null_keys_come_first_and_are_kept(spark, rows):
+    df = spark.range(rows).select(F.when(F.col("id") % 10 != 0, F.col("id") % 7).alias("a"), F.col("id").alias("b"))
+    order = sorted(((r.a is not None, r.a or 0, r.b) for r in df.collect()))
+    for n in (3, rows // 2, rows - 1):
+        got = O.head_n(df, n, ["a", "b"], bucket_rows=50).collect()
+        assert sorted((r.a is not None, r.a or 0, r.b) for r in got) == order[:n]
+    sizes = {r[0]: r[1] for r in O.split_exact(df, ["a", "b"], bucket_rows=50).groupBy("split").count().collect()}
+    assert sizes == {s: n for s, n in O.split_counts(rows) if n}
+    ranks = O.exact_rank(df, ["a", "b"], bucket_rows=50).collect()
+    assert [r.rank for r in sorted(ranks, key=lambda r: (r.a is not None, r.a or 0, r.b))] == list(range(1, rows + 1))
+
+
+@pytest.mark.parametrize("bucket_rows", [40, 10**6])
+def test_ties_are_an_error_at_any_size(spark, bucket_rows):
+    df = spark.range(200).select((F.col("id") % 50).alias("k"), "id")
+    with pytest.raises(Exception, match="not unique"):
+        O.exact_rank(df, "k", bucket_rows=bucket_rows).collect()
+    for n in (6, 22, 70):
+        with pytest.raises(ValueError, match="not unique"):
+            O.head_n(df, n, "k", bucket_rows=bucket_rows)
+        assert O.head_n(df, n // 4 * 4, "k", bucket_rows=bucket_rows).count() == n // 4 * 4
+
+
+def test_balance_counts_null_as_a_class(spark):
+    sizes = {None: 40, "a": 15, "b": 5}
+    df = spark.createDataFrame([(c, i) for c, n in sizes.items() for i in range(n)], "cls string, id long")
+    got = O.balance(df, "cls", "id")
+    assert {r[0]: r[1] for r in got.groupBy("cls").count().collect()} == {None: 5, "a": 5, "b": 5}
+    assert {r.id for r in got.collect()} == set(range(5))
+
+
+def test_balance_runs_as_many_jobs_for_many_classes(spark):
+    def jobs(classes):
+        group = f"balance-{classes}"
+        spark.sparkContext.setJobGroup(group, group)
+        df = spark.range(2 * classes).select((F.col("id") % classes).alias("cls"), "id")
+        assert O.balance(df, "cls", "id", 0.5).count() == 0 if classes == 0 else True
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(400) <= jobs(10) + 2
+
+
+def test_take_per_group_with_a_null_group(spark):
+    df = spark.createDataFrame([(None, i) for i in range(9)] + [("a", i) for i in range(4)], "cls string, id long")
+    got = O.take_per_group(df, "cls", {None: 3}, "id")
+    assert {r[0]: r[1] for r in got.groupBy("cls").count().collect()} == {None: 3, "a": 4}

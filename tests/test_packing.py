@@ -123,3 +123,9 @@ def test_ragged(spark):
     assert padded[0].ids == [[1, 2], [3, 0]] and padded[0].extra == [5, 6]
     floats = P.collate_ragged(P.assemble_batches(df.withColumn("label", F.lit(0.5)), ["label"], 2, "id"))
     assert floats.schema["labels"].dataType.simpleString() == "array<double>"
+
+
+def test_wrapped_blocks_allow_empty_sequences(spark):
+    df = spark.createDataFrame([(0, [101, 1, 2, 102]), (1, []), (2, [101, 3, 102])], "id long, ids array<bigint>")
+    got = P.pack_wrapped(df, "ids", 5, "id", 10).select("ids").collect()
+    assert [r.ids for r in got] == [[101, 1, 2, 3, 102]]

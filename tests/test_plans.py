@@ -156,3 +156,29 @@ def test_classifier_metrics_match_the_library(spark):
     for ours, theirs in (("accuracy", "accuracy"), ("f1", "f1"), ("precision", "weightedPrecision"), ("recall", "weightedRecall")):
         assert got[ours] == pytest.approx(MulticlassClassificationEvaluator(metricName=theirs).evaluate(library))
     assert got["accuracy"] > 0.9 and got["roc_auc"] > 0.9
+
+
+def test_made_keys_do_not_depend_on_partitions(spark):
+    rows = [(f"t{i % 40}", None if i % 3 else "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "text string, other string")
+    labels = []
+    for parts in (1, 200):
+        keyed = clean.with_row_key(df.repartition(parts), "id")
+        assert keyed.count() == 200 == keyed.select("id").distinct().count()
+        split = clean.merge_and_split([df.repartition(parts)], "id")
+        labels.append({(r.id, r.text): r.split for r in split.collect()})
+    assert labels[0] == labels[1] and len(labels[0]) == 200
+
+
+def test_a_saved_task_leaves_no_scratch(spark, tmp_path):
+    import glob
+
+    from corpus_spark import session
+
+    publish_rows = spark.createDataFrame([(i, f"t{i}", "train") for i in range(30)], "id long, text string, split string")
+    IO_root = str(tmp_path)
+    clean.publish(publish_rows, IO_root, "one", "validation")
+    before = set(glob.glob(session._scratch_folder(spark) + "/*"))
+    cfg = clean.CleanConfig(IO_root, ["one"], save=True, target="out")
+    assert clean.run_task(spark, cfg).count() == 30
+    assert set(glob.glob(session._scratch_folder(spark) + "/*")) == before

@@ -27,7 +27,7 @@ def test_unknown_hot_token(hot, monkeypatch):
     monkeypatch.setattr(K, "HEAD_ENTRIES", 8)
     words = K.build_vocab(hot, "text").where("token <> 'zzz'")
     ids = {r.token: r.id for r in words.collect()}
-    for r in K.encode(hot, "text", words, row_key=["id"]).select("id", "input_ids").collect():
+    for r in K.encode(hot, "text", words).select("id", "input_ids").collect():
         assert r.input_ids == [1, ids[f"w{r.id % 400}"], ids["a"]]
 
 

@@ -16,18 +16,18 @@ def rows(spark):
 
 def test_csv_round_trip(spark, rows, tmp_path):
     path = IO.write_csv(rows, str(tmp_path / "x.csv"))
-    by_header = IO.read_csv(spark, path)
+    by_header = IO.read_csv(spark, path, multi_line=True)
     assert by_header.columns == ["key", "body"]
     assert sorted(map(tuple, by_header.collect())) == sorted(map(tuple, rows.collect()))
-    forced = IO.read_csv(spark, path, columns=["id", "text"])
+    forced = IO.read_csv(spark, path, columns=["id", "text"], multi_line=True)
     assert forced.columns == ["id", "text"] and forced.count() == len(TEXTS)
 
 
 def test_hand_written_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text('0,content\n1,"a ""b"", c"\n2,"x\ny"\n', encoding="utf-8")
-    got = IO.read_any(spark, "a.csv", str(tmp_path)).collect()
+    got = IO.read_any(spark, "a.csv", str(tmp_path), multi_line=True).collect()
     assert [tuple(r) for r in got] == [("1", 'a "b", c'), ("2", "x\ny")]
-    forced = IO.read_csv(spark, str(tmp_path / "a.csv"), columns=["id", "text"]).collect()
+    forced = IO.read_csv(spark, str(tmp_path / "a.csv"), columns=["id", "text"], multi_line=True).collect()
     assert [r.id for r in forced] == ["1", "2"]
 
 

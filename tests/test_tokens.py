@@ -48,25 +48,44 @@ def test_encode(docs, vocab, head, monkeypatch):
     if head:
         monkeypatch.setattr(K, "HEAD_ENTRIES", head)
     ids = ids_by_hand(docs)
-    got = K.encode(docs, "text", vocab.where("token != 'w7'"), row_key=["id"]).collect()
+    got = K.encode(docs, "text", vocab.where("token != 'w7'")).collect()
     assert len(got) == 80
     for r in got:
         wanted = [1 if w == "w7" else ids[w] for w in r.text.split()]
         assert r.input_ids == wanted
 
 
-def test_large_vocabulary_needs_a_row_key(docs, vocab, monkeypatch):
-    monkeypatch.setattr(K, "HEAD_ENTRIES", 8)
-    with pytest.raises(ValueError):
-        K.encode(docs, "text", vocab)
+@pytest.mark.parametrize("head", [8, 10**6])
+def test_repeated_and_null_rows_encode_alike_at_any_size(spark, vocab, monkeypatch, head):
+    monkeypatch.setattr(K, "HEAD_ENTRIES", head)
+    rows = [(1, "w1 w2 zzz w3"), (1, "w40 w41"), (None, "w1"), (None, None), (1, "w1 w2 zzz w3"), (2, "")]
+    ids = {r.token: r.id for r in vocab.collect()}
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = sorted((r.text or "", r.input_ids) for r in K.encode(df, "text", vocab).collect() if r.text is not None)
+    assert got == sorted((t, [ids.get(w, 1) for w in t.split()]) for _, t in rows if t is not None)
+
+
+def test_special_tokens_are_cut_alike_by_default(spark):
+    df = spark.createDataFrame([("foo</s> bar",)], "text string")
+    words = K.build_vocab(df, "text")
+    ids = {r.token: r.id for r in words.collect()}
+    assert K.encode(df, "text", words).first().input_ids == [ids["foo"], 1, ids["bar"]]
+
+
+def test_long_tokens_leave_the_head(spark):
+    long = "x" * 500
+    df = spark.createDataFrame([(f"{long} a {long}",)], "text string")
+    words = K.build_vocab(df, "text")
+    ids = {r.token: r.id for r in words.collect()}
+    assert K.encode(df, "text", words).first().input_ids == [ids[long], ids["a"], ids[long]]
 
 
 @pytest.mark.parametrize("head", [None, 8])
 def test_round_trip(docs, vocab, head, monkeypatch):
     if head:
         monkeypatch.setattr(K, "HEAD_ENTRIES", head)
-    ids = K.encode(docs, "text", vocab, row_key=["id"])
-    back = K.decode(ids, "input_ids", vocab, row_key=["id"]).collect()
+    ids = K.encode(docs, "text", vocab)
+    back = K.decode(ids, "input_ids", vocab).collect()
     assert all(r.decoded == r.text for r in back)
 
 
