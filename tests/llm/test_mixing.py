@@ -2,6 +2,7 @@
 
 import math
 
+import pyarrow.parquet as pq
 import pytest
 from oracle import connect, differences
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ def docs(spark):
 
 @pytest.mark.parametrize("entropy, epochs, budget", [(0.95, 4.0, 1.0), (0.99, 100.0, 1.0), (0.2, 4.0, 0.3)])
 def test_equals_sql(spark, docs, tmp_path, entropy, epochs, budget):
-    docs.coalesce(1).toPandas().to_parquet(tmp_path / "documents.parquet")
+    pq.write_table(docs.toArrow(), tmp_path / "documents.parquet")
     got = mix_sources(docs, entropy=entropy, max_epochs=epochs, budget=budget)
     sql = mix_sql(entropy=entropy, max_epochs=epochs, budget=budget)
     assert differences(got, connect(str(tmp_path)), sql) is None

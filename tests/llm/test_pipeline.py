@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow.parquet as pq
 import pytest
 from llm import brute
 from oracle import connect, differences
@@ -63,7 +64,7 @@ def test_benchmark_items_go(spark, steps):
 
 
 def test_mixing_equals_sql(spark, steps, tmp_path):
-    steps[4].toPandas().to_parquet(tmp_path / "documents.parquet")
+    pq.write_table(steps[4].toArrow(), tmp_path / "documents.parquet")
     assert differences(steps[5], connect(str(tmp_path)), mix_sql()) is None
 
 
