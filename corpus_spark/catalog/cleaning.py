@@ -454,3 +454,82 @@ def prompt_merge_trim(spark, sf_dir):
 def prompt_split_counts(spark, sf_dir):
     """The flagship: clean, label, shuffle and split two sources, then count."""
     return prompt_merge_split(spark, sf_dir).groupBy("split", "output").agg(F.count("*").alias("n"))
+
+
+# --- branches that the tables do not show by themselves ----------------------
+
+
+@query("SELECT doc_id, text, source FROM documents")
+def dropped_columns(spark, sf_dir):
+    """Columns removed by name; names that are not there do not matter."""
+    return S.drop_columns(table(spark, sf_dir, "documents"), ["lang", "n_chars", "text_size"])
+
+
+@query(
+    f"SELECT doc_id, text AS input, {lit(PROMPT_INSTRUCTION)} AS instruction,"
+    f" CASE length(text) % 4 WHEN 0 THEN {lit(PROMPT_OUTPUTS[0])} WHEN 1 THEN {lit(PROMPT_OUTPUTS[1])} END AS output"
+    " FROM documents"
+)
+def prompt_rows_unmatched(spark, sf_dir):
+    """Labels 2 and NULL have no output."""
+    code = F.length("text") % 4
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("text").alias("input"), F.when(code < 3, code).alias("label")
+    )
+    return S.prompt_rows(docs)
+
+
+@query(
+    f"""WITH {PAIRS_SQL}, g AS (
+      SELECT rid, reply, CASE turn % 3 WHEN 0 THEN question WHEN 1 THEN '' END AS given
+      FROM pairs)
+    SELECT rid, """
+    + sql_template(
+        INSTRUCTION_TEMPLATE,
+        instruction=f"({lit(PROMPT_INSTRUCTION)} || CASE WHEN coalesce(given, '') <> '' THEN chr(10) || given ELSE '' END)",
+    )
+    + " AS sources, reply || '</s>' AS targets FROM g"
+)
+def instruction_pairs_optional(spark, sf_dir):
+    """Inputs that are NULL or empty leave the instruction alone."""
+    given = F.when(F.col("turn") % 3 == 0, F.col("question")).when(F.col("turn") % 3 == 1, F.lit(""))
+    pairs = turn_pairs(spark, sf_dir).withColumn("given", given)
+    pairs = build_instruction_pairs(pairs, F.lit(PROMPT_INSTRUCTION), "given", "reply", "</s>")
+    return pairs.select("rid", "sources", "targets")
+
+
+WIDE_SQL = f"""
+src AS (
+  SELECT doc_id, CASE doc_id % 3
+    WHEN 0 THEN replace(replace(text, chr(10), {lit(SEPARATORS[0])}), '. ', '.  ')
+    WHEN 1 THEN replace(text, '. ', '.  ')
+    ELSE replace(replace(text, chr(10), chr(10) || chr(10)), '. ', '.  ') END AS text
+  FROM documents),
+{sql_repack('packed', 'src', 'doc_id', 'text', 700, SEPARATORS)}"""
+
+
+@query(f"WITH {WIDE_SQL} SELECT doc_id, text FROM packed")
+def repack_priority(spark, sf_dir):
+    """Wide spaces, blank lines and double spaces, alone and together: the first in order wins."""
+    text = F.replace("text", F.lit(". "), F.lit(".  "))
+    kinds = (
+        F.when(F.col("doc_id") % 3 == 0, F.replace(text, F.lit("\n"), F.lit(SEPARATORS[0])))
+        .when(F.col("doc_id") % 3 == 1, text)
+        .otherwise(F.replace(text, F.lit("\n"), F.lit("\n\n")))
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", kinds.alias("text"))
+    return S.repack_filter(docs, "text", 700)
+
+
+KEYLESS_SQL = f"""
+src AS (SELECT CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS source, text FROM documents),
+keyed AS (
+  SELECT source, text, md5('=' || text) || ':' || (row_number() OVER (PARTITION BY source, text) - 1) AS id,
+    source AS labels FROM src),
+{sql_split('s', 'keyed', ('source', 'id'))}"""
+
+
+@query(f"WITH {KEYLESS_SQL} SELECT source, id, text, labels, split FROM s")
+def keyless_merge(spark, sf_dir):
+    """Sources without a key column get one from their values."""
+    return merge_and_split([d.drop("doc_id") for d in _by_language(spark, sf_dir)])

@@ -20,6 +20,7 @@ from corpus_spark.functions import argmax, words
 from corpus_spark.operators import metrics as M
 from corpus_spark.operators import vectors as V
 from corpus_spark.operators.order import split_exact
+from corpus_spark.operators.udf import apply_metrics
 from corpus_spark.plans.classify import predict_labels, train_text_classifier
 from corpus_spark.plans.evaluate import evaluate, reward_report as report, reward_summary as summary
 from corpus_spark.session import materialize
@@ -137,6 +138,36 @@ def next_token_accuracy(spark, sf_dir):
     return M.next_token_accuracy(rows, "ids", "ids").withColumn("accuracy", rounded("accuracy"))
 
 
+@query(
+    f"""WITH w AS (SELECT list_transform({sql_words('text')}, lambda x: length(x)) AS l FROM conversations),
+    p AS (SELECT unnest(l[2:]) AS a, unnest(l[:len(l) - 1]) AS b FROM w WHERE len(l) > 1)
+    SELECT count(*) FILTER (a = b AND a <> 2)::BIGINT AS hits, count(*) FILTER (a <> 2) AS total,
+      round(count(*) FILTER (a = b AND a <> 2)::DOUBLE / count(*) FILTER (a <> 2), 6) AS accuracy FROM p"""
+)
+def next_token_accuracy_ignored(spark, sf_dir):
+    """The same with one token that does not count."""
+    rows = table(spark, sf_dir, "conversations").select(
+        F.transform(words(F.col("text")), lambda w: F.length(w)).alias("ids")
+    )
+    return M.next_token_accuracy(rows, "ids", "ids", ignore_index=2).withColumn("accuracy", rounded("accuracy"))
+
+
+@query(
+    """WITH m AS (SELECT avg((quality = 1 - toxic)::INTEGER)::DOUBLE AS accuracy,
+      2.0::DOUBLE * count(*) FILTER (quality = 1 AND toxic = 0)
+        / (count(*) FILTER (quality = 1) + count(*) FILTER (toxic = 0)) AS f1, count(*)::DOUBLE AS "rows" FROM labels)
+    SELECT metric, round(value, 6) AS value FROM (UNPIVOT m ON f1, accuracy, "rows" INTO NAME metric VALUE value)"""
+)
+def metric_functions(spark, sf_dir):
+    """A caller's metric functions next to those of the library."""
+
+    def rows_seen(df):
+        return df.agg(F.count("*").cast("double").alias("value")).select(F.lit("rows").alias("metric"), "value")
+
+    rows = table(spark, sf_dir, "labels").withColumn("pred", 1 - F.col("toxic"))
+    return _round_values(apply_metrics(rows, [lambda df: M.binary_scores(df, "quality", "pred"), rows_seen]))
+
+
 @query(
     """SELECT event_type, round(avg(value / 100), 6) AS loss, round(exp(avg(value / 100)), 6) AS perplexity
     FROM events GROUP BY event_type"""

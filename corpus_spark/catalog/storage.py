@@ -6,7 +6,9 @@ import time
 
 from pyspark.sql import functions as F
 
+from corpus_spark.catalog.cleaning import PROMPT_SQL
 from corpus_spark.catalog.registry import (
+    DOC_SEPARATORS,
     LABELLED_SQL,
     query,
     rounded,
@@ -161,3 +163,16 @@ def task_run(spark, sf_dir):
     return read_named(spark, root, "merged", revision="first").select(
         "doc_id", "text", "labels", "split"
     )
+
+
+@query(f"WITH {PROMPT_SQL} SELECT doc_id, input, instruction, output, split FROM s")
+def prompt_task_run(spark, sf_dir):
+    """The prompt task by name, from published test splits to a published result."""
+    root = scratch_path(spark, "task")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    for name, part in (("other", "lang <> 'en'"), ("english", "lang = 'en'")):
+        publish(docs.where(part).drop("lang").withColumn("split", F.lit("test")), root, name)
+    cfg = CleanConfig(
+        root, ["other", "english"], "PROMPT_MERGE_SPLIT_SAVE", "doc_id", separators=DOC_SEPARATORS, save=True, target="prompts"
+    )
+    return run_task(spark, cfg).select("doc_id", "input", "instruction", "output", "split")

@@ -376,6 +376,19 @@ def batch_ragged(spark, sf_dir):
     return rows.withColumn("ragged", F.col("ragged").cast("int"))
 
 
+@query(
+    f"""WITH {TURN_BATCHES_SQL}
+    SELECT batch, count(*)::INTEGER AS n_rows, max(CASE WHEN long_ <> short_ THEN 1 ELSE 0 END)::INTEGER AS ragged,
+      string_agg({sql_join(sql_pad('ids', 'long_', 0))}, '|' ORDER BY conv_id, turn) AS input_ids,
+      string_agg(turn::VARCHAR, ' ' ORDER BY conv_id, turn) AS labels
+    FROM siz GROUP BY batch"""
+)
+def batch_padded(spark, sf_dir):
+    """Ragged batches under the default rule."""
+    rows = _text_columns(_nested_text(P.collate_ragged(_turn_batches(spark, sf_dir)), "input_ids"), "labels")
+    return rows.withColumn("ragged", F.col("ragged").cast("int"))
+
+
 # --- training rows ---------------------------------------------------------
 
 SPLIT_LABELLED_SQL = f"{LABELLED_SQL}, {sql_split('sp', 'labelled')}"
