@@ -69,6 +69,14 @@ def with_row_key(df: DataFrame, key: str) -> DataFrame:
     return materialize(counted.withColumn(key, made).select(*df.columns, key), "numbered")
 
 
+def _keyed(sources: Sequence[DataFrame], key: str) -> list[DataFrame]:
+    """Sources with a key each; the keys become text where their types differ."""
+    frames = [with_row_key(df, key) for df in sources]
+    if len({df.schema[key].dataType for df in frames}) > 1:
+        frames = [df.withColumn(key, F.col(key).cast("string")) for df in frames]
+    return frames
+
+
 def _split_and_trim(
     merged: DataFrame, key: str, train_length: int | None, trim_seed: int
 ) -> DataFrame:
@@ -100,7 +108,7 @@ def clean_two_sources(
 ) -> DataFrame:
     """Two text sources to balanced, split rows (source, key, text, target, split)."""
     targets = {code: text for text, code in TARGET_TO_LABEL.items()}
-    ai, human = with_row_key(ai, key), with_row_key(human, key)
+    ai, human = _keyed([ai, human], key)
     if number is not None:
         ai = head_n(ai, number, key)
     ai, human = balance_two(ai, human, key, zoom)
@@ -121,9 +129,9 @@ def _canonical(
 ) -> list[DataFrame]:
     return [
         canonical_columns(
-            with_row_key(df, key), i, text_candidates, label_candidates, text_name, label_name, [key]
+            df, i, text_candidates, label_candidates, text_name, label_name, [key]
         ).select(F.lit(i).alias("source"), key, text_name, label_name)
-        for i, df in enumerate(sources)
+        for i, df in enumerate(_keyed(sources, key))
     ]
 
 
