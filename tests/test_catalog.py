@@ -6,6 +6,7 @@ import pytest
 from oracle import connect, differences
 
 import __spark_entry__ as entry
+from corpus_spark.catalog import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -15,15 +16,15 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, name):
-    df = entry.queries()[name](spark, SF_DIR)
-    assert differences(df, con, entry.oracle_sql()[name]) is None
+    df = QUERIES[name](spark, SF_DIR)
+    assert differences(df, con, ORACLES[name]) is None
 
 
-def test_queries_without_sql_return_rows(spark):
-    for name in sorted(set(entry.queries()) - set(entry.oracle_sql())):
-        assert entry.queries()[name](spark, SF_DIR).count() > 0
+def test_every_query_has_sql_and_is_registered():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
