@@ -6,10 +6,11 @@ the circle. 128 coordinates make 32 bands of 4; a pair with similarity 0.75 shar
 band with probability 6e-6.
 
 Texts with equal shingle sets count once. In each band bucket every text is verified
-against the bucket's first one; components follow from the links found. Only texts of
-one bucket that are still in different components are then verified pair by pair, so a
-large group of copies costs a row for each text, and a link between different texts is
-not lost for want of a partner. Links are confirmed on full shingle sets.
+against the bucket's first one; components follow from the links found. Texts of one
+bucket that are still in different components are then compared by their whole
+signatures, inside a task. Where these agree in 62 % of the coordinates, one text visits
+the other's component and is compared with all of it. So a large group of copies costs a
+row for each text, and a link between different texts is not lost for want of a partner. Links are confirmed on full shingle sets.
 
 Rows: a NULL text or one without words has an empty set and is linked with nothing. Rows
 that repeat a doc_id are one document, and the smallest of its sets counts. Rows with a
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_spark.llm.buffers import flat_bytes, integers, mix, split_words
+from corpus_spark.llm.buffers import flat_bytes, mix, pieces, split_words
 from corpus_spark.llm.components import components
 from corpus_spark.llm.shingles import SHINGLE, shingle_hashes, shingle_sets
 from corpus_spark.session import materialize
@@ -33,6 +34,8 @@ from corpus_spark.session import materialize
 BANDS, ROWS = 32, 4
 PERCENT = 75
 SALT_ROWS = 1000  # texts compared with one partner in one group
+PART_ROWS = 2000  # texts of a bucket compared with the others in one group
+ESTIMATE = 0.62
 _CHUNK = 1 << 15
 
 _A, _B = np.uint32(0x7FEB352D), np.uint32(0x846CA68B)
@@ -76,24 +79,20 @@ def circulant_signatures(hashes: np.ndarray, offsets: np.ndarray, coordinates: i
     return out
 
 
-def _band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    keys = np.empty((len(signatures), bands), np.uint64)
-    for b in range(bands):
-        h = np.full(len(signatures), b, np.uint64)
-        for r in range(rows):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + signatures[:, b * rows + r].astype(np.uint64))
-        keys[:, b] = h
-    return keys.view(np.int64)
+def _band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
+    """The low 16 bits of a band's four coordinates, side by side in one long."""
+    low = (signatures & np.uint32(0xFFFF)).astype("<u2")
+    return np.ascontiguousarray(low).view("<i8").reshape(len(signatures), bands)
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: size of the set, two hashes of the whole set, band keys."""
-    for batch in batches:
+    for batch in pieces(batches, 1):
         data, offsets = flat_bytes(batch.column(1))
         words = split_words(data, offsets, lower=True)
         hashes, bounds = shingle_hashes(words.hash, words.first)
         signatures = circulant_signatures(hashes, bounds, BANDS * ROWS)
-        keys = _band_keys(signatures, BANDS, ROWS)
+        keys = _band_keys(signatures, BANDS)
         some = np.flatnonzero(np.diff(bounds) > 0)
         size = np.zeros(batch.num_rows, np.int64)
         one, two = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
@@ -112,7 +111,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the text by its packed shingle set."""
-    for batch in batches:
+    for batch in pieces(batches, "text"):
         sets = shingle_sets(*flat_bytes(batch.column("text")))
         wanted = [h == int(s.sum().view(np.int64)) for h, s in zip(batch.column("h1").to_pylist(), sets)]
         packed = pa.array([s.tobytes() for s in sets], pa.binary())
@@ -149,6 +148,12 @@ def _confirm(percent: int):
     return run
 
 
+def _shingles_of(roles: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, shingles) of the texts that are named in ``roles``."""
+    needed = roles.select("id").distinct().join(members.select("id", "h1"), "id")
+    return docs.join(needed, "id").select("id", "text", "h1").mapInArrow(_sets, "id long, shingles binary")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The links among pairs (member, centre). A centre with many members is dealt to several groups."""
     pairs = materialize(pairs, "candidate-pairs")
@@ -158,13 +163,132 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: in
     )
     own = parts.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("member"))
     roles = dealt.unionByName(own).withColumnRenamed("member", "id")
-    needed = roles.select("id").distinct().join(members.select("id", "h1"), "id")
-    sets = docs.join(needed, "id").select("id", "text", "h1").mapInArrow(_sets, "id long, shingles binary")
+    sets = _shingles_of(roles, docs, members)
     bucket = F.pmod(F.xxhash64("centre", "part"), F.lit(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))).cast("int")
     rows = roles.join(sets, "id").select(bucket.alias("bucket"), "centre", "part", F.col("id").alias("member"), "shingles")
     return materialize(rows.groupBy("bucket").applyInArrow(_confirm(percent), "u long, v long"), "links")
 
 
+def _alike(percent: int):
+    """Pairs of a bucket in different components whose signatures agree well enough.
+
+    ESTIMATE lies 3.4 standard deviations of 128 coordinates below the threshold. A pair
+    counts only in the first of the bands that it shares. Named are the visitor and the
+    component that it must be compared with, once however many of its texts are alike.
+    """
+    least = round(ESTIMATE * percent / PERCENT * BANDS * ROWS)
+
+    def run(table: pa.Table) -> pa.Table:
+        found = set()
+        table = table.sort_by([("b", "ascending"), ("key", "ascending"), ("part", "ascending"), ("id", "ascending")])
+        columns = [table[c].to_numpy() for c in ("b", "key", "part", "id", "n", "component")]
+        b, key, part, ids, n, component = columns
+        left, right = (table[c].to_numpy().astype(bool) for c in ("own", "rest"))
+        keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        coordinates = keys.view("<u2").reshape(len(keys), BANDS * ROWS)
+        cuts = np.flatnonzero((np.diff(b) != 0) | (np.diff(key) != 0) | (np.diff(part) != 0)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)]):
+            rows, others = lo + np.flatnonzero(left[lo:hi]), lo + np.flatnonzero(right[lo:hi])
+            for at in range(0, len(others), 32):
+                some = others[at : at + 32]
+                x, y = np.nonzero(
+                    (component[some][:, None] != component[rows])
+                    & (100 * n[some][:, None] >= percent * n[rows])
+                    & (100 * n[rows] >= percent * n[some][:, None])
+                )
+                x, y = some[x], rows[y]
+                for cut in range(0, len(x), 1 << 14):
+                    u, v = x[cut : cut + (1 << 14)], y[cut : cut + (1 << 14)]
+                    close = (coordinates[u] == coordinates[v]).sum(axis=1) >= least
+                    close &= (keys[u] == keys[v]).argmax(axis=1) == b[lo]
+                    close &= ~(right[v] & (ids[u] < ids[v]))  # both ways round otherwise
+                    found.update(zip(ids[u[close]].tolist(), component[v[close]].tolist()))
+        x, c = zip(*found) if found else ((), ())
+        return pa.table({"visitor": pa.array(x, pa.int64()), "component": pa.array(c, pa.int64())})
+
+    return run
+
+
+def _across(grouped: DataFrame, joined: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
+    """(visitor, component): texts that are alike in one bucket but not in one component.
+
+    Within a bucket only texts outside its main component are compared with all others;
+    a large bucket is dealt to parts of PART_ROWS texts.
+    """
+    spark = grouped.sparkSession
+    placed = grouped.join(joined.withColumnRenamed("node", "id"), "id", "left")
+    placed = placed.select("b", "key", "id", "n", F.coalesce("component", "id").alias("component"))
+    counts = placed.groupBy("b", "key", "component").agg(F.count("*").alias("c"))
+    buckets = counts.groupBy("b", "key").agg(
+        F.sum("c").alias("size"), F.count("*").alias("kinds"), F.max_by("component", F.struct("c", "component")).alias("main")
+    )
+    rows = placed.join(buckets.where("kinds > 1"), ["b", "key"])
+    rows = rows.withColumn("parts", F.ceil(F.col("size") / F.lit(PART_ROWS)).cast("int"))
+    rows = rows.withColumns({"home": F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), "rest": F.col("component") != F.col("main")})
+    spread = F.when(F.col("rest"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("home"))
+    rows = rows.withColumn("part", F.explode(spread)).withColumn("own", F.col("part") == F.col("home"))
+    rows = rows.select("b", "key", "part", "id", "n", "component", "own", "rest").join(bands, "id")
+    slots = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("b", "key", "part"), F.lit(slots)).cast("int"))
+    return rows.groupBy("slot").applyInArrow(_alike(percent), "visitor long, component long").distinct()
+
+
+def _hosted(percent: int):
+    """Visitors against all texts of a part of a component, until one is a link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("component", "ascending"), ("part", "ascending"), ("guest", "ascending"), ("id", "ascending")])
+        component, part = table["component"].to_numpy(), table["part"].to_numpy()
+        ids, guest = table["id"].to_numpy(), table["guest"].to_numpy().astype(bool)
+        data, offsets = flat_bytes(table["shingles"])
+        hashes, bounds = data.view(np.uint64), offsets // 8
+        sizes, found = np.diff(bounds), []
+        cuts = np.flatnonzero((np.diff(component) != 0) | (np.diff(part) != 0)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
+            hosts = lo + int((~guest[lo:hi]).sum())
+            for x in range(hosts, hi):
+                own = hashes[bounds[x] : bounds[x + 1]]
+                for at in range(lo, hosts, 256):
+                    to = min(at + 256, hosts)
+                    some = hashes[bounds[at] : bounds[to]]
+                    hit = own[np.minimum(np.searchsorted(own, some), len(own) - 1)] == some
+                    total = np.concatenate([[0], np.cumsum(hit)])[bounds[at : to + 1] - bounds[at]]
+                    shared = np.diff(total)
+                    linked = 100 * shared >= percent * (sizes[at:to] + len(own) - shared)
+                    if linked.any():
+                        found.append((int(ids[x]), int(ids[at + int(linked.argmax())])))
+                        break
+        u, v = zip(*found) if found else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def _visited(visits: DataFrame, joined: DataFrame, docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links between visitors and the components they visit.
+
+    The texts of a component travel once, in parts of SALT_ROWS, whatever the visitors.
+    """
+    visits = materialize(visits, "visits")
+    hosts = visits.select("component").distinct()
+    texts = hosts.join(joined, "component").select("component", F.col("node").alias("id"))
+    alone = hosts.join(joined.select("component").distinct(), "component", "left_anti")
+    texts = texts.unionByName(alone.select("component", F.col("component").alias("id")))
+    parts = texts.groupBy("component").agg(F.ceil(F.count("*") / F.lit(SALT_ROWS)).cast("int").alias("parts"))
+    texts = texts.join(parts, "component").select(
+        "component", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", F.lit(False).alias("guest")
+    )
+    guests = visits.join(parts, "component").select(
+        "component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("visitor").alias("id"), F.lit(True).alias("guest")
+    )
+    roles = texts.unionByName(guests)
+    sets = _shingles_of(roles, docs, members)
+    slots = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slot = F.pmod(F.xxhash64("component", "part"), F.lit(slots)).cast("int")
+    rows = roles.join(sets, "id").select(slot.alias("slot"), "component", "part", "id", "guest", "shingles")
+    return materialize(rows.groupBy("slot").applyInArrow(_hosted(percent), "u long, v long"), "links")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT
 ) -> DataFrame:
@@ -184,24 +308,15 @@ def near_duplicates(
         "classes",
     )
     first = members.where("id = class_id and n > 0").select("id")
-    banded = profile.where("n > 0").join(first, "id").select("id", "n", F.explode("bands").alias("band"))
-    banded = materialize(banded, "bands")
-    shared = banded.groupBy("band").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    grouped = materialize(banded.join(shared.select("band", "centre"), "band"), "buckets")
+    bands = profile.where("n > 0").join(first, "id").select("id", "n", F.posexplode("bands").alias("b", "key"))
+    shared = bands.groupBy("b", "key").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1")
+    grouped = materialize(bands.join(shared.select("b", "key", "centre"), ["b", "key"]), "buckets")
+
     starred = grouped.where("id <> centre").select(F.col("id").alias("member"), "centre").distinct()
     links = _verified(starred, source, members, percent)
     joined = components(links)
-
-    at = joined.select(F.col("node").alias("id"), "component")
-    placed = grouped.join(at, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rest = materialize(placed.join(mixed.select("band"), "band"), "buckets")
-    a, b = rest.alias("a"), rest.alias("b")
-    near = (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
-    across = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & near)
-    across = across.select(F.col("a.id").alias("member"), F.col("b.id").alias("centre")).distinct()
-    across = across.join(starred, ["member", "centre"], "left_anti")
-    joined = components(links.unionByName(_verified(across, source, members, percent)))
+    visits = _across(grouped, joined, profile.select("id", "bands"), percent)
+    joined = components(links.unionByName(_visited(visits, joined, source, members, percent)))
 
     named = members.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left")
     result = named.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
