@@ -29,14 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_spark.llm.buffers import flat_bytes
 from corpus_spark.session import materialize
 
 CURVES, DIMS, BITS = 4, 6, 8
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 16_384  # a query gets a row for each hit of each block, so blocks are large
 SAMPLE = 64
 FITTED_RECALL = 0.97
 BORDER_ROWS = 16_384
@@ -248,8 +248,10 @@ def _placed(curves: Curves, size: int):
 def _rows(batch: pa.RecordBatch, which: np.ndarray, curve: np.ndarray, block: np.ndarray, query: bool) -> pa.RecordBatch:
     n = len(which)
     ids = pa.nulls(n, pa.list_(pa.int64())) if query else batch.column("ids")
-    columns = [pa.array(curve, pa.int32()), pa.array(block, pa.int32()), pa.array(np.full(n, query)), batch.column("vector").take(pa.array(which)), ids]
-    return pa.record_batch(columns, ["curve", "block", "query", "vector", "ids"])
+    which = pa.array(which)
+    columns = [pa.array(curve, pa.int32()), pa.array(block, pa.int32()), pa.array(np.full(n, query)), ids]
+    columns += [batch.column(c).take(which) for c in ("vector", "h1", "h2")]
+    return pa.record_batch(columns, ["curve", "block", "query", "ids", "vector", "h1", "h2"])
 
 
 def _searched(size: int, k: int):
@@ -257,11 +259,17 @@ def _searched(size: int, k: int):
         asked = table.filter(table["query"])
         rows = table.filter(pa.compute.invert(table["query"]))
         q, r, score = _best(_matrix(asked["vector"], size), _matrix(rows["vector"], size), k)
-        return pa.table({"vector": asked["vector"].take(pa.array(q)), "ids": rows["ids"].take(pa.array(r)), "score": pa.array(score)})
+        q = pa.array(q)
+        return pa.table({"h1": asked["h1"].take(q), "h2": asked["h2"].take(q), "ids": rows["ids"].take(pa.array(r)), "score": pa.array(score)})
 
     return run
 
 
+def _marks() -> list[Column]:
+    """Two hashes that stand for a vector where rows are many."""
+    return [F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2")]
+
+
 def nearest_neighbours(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, query_divisor: int = 20
 ) -> DataFrame:
@@ -275,18 +283,18 @@ def nearest_neighbours(
     each = rows.mapInArrow(_distinct(size, keep, query_divisor), "vector binary, ids array<long>, asked boolean")
     merged = each.groupBy("vector").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.max("asked").alias("asked"))
     few = F.slice(F.array_sort(F.array_distinct("ids")), 1, keep)
-    index = materialize(merged.select("vector", few.alias("ids"), "asked"), "vectors")
+    index = materialize(merged.select("vector", few.alias("ids"), "asked", *_marks()), "vectors")
     curves = _fit(index, size, k)
     if curves is None:
         return empty
-    placed = index.mapInArrow(_placed(curves, size), "curve int, block int, query boolean, vector binary, ids array<long>")
-    found = placed.groupBy("curve", "block").applyInArrow(_searched(size, keep), "vector binary, ids array<long>, score double")
-    pairs = found.select("vector", F.explode("ids").alias("vec_id"), "score")
-    pairs = pairs.groupBy("vector", "vec_id").agg(F.max("score").alias("score"))
-    by_vector = Window.partitionBy("vector").orderBy(F.desc("score"), "vec_id")
+    placed = index.mapInArrow(_placed(curves, size), "curve int, block int, query boolean, ids array<long>, vector binary, h1 long, h2 long")
+    found = placed.groupBy("curve", "block").applyInArrow(_searched(size, keep), "h1 long, h2 long, ids array<long>, score double")
+    pairs = found.select("h1", "h2", F.explode("ids").alias("vec_id"), "score")
+    pairs = pairs.groupBy("h1", "h2", "vec_id").agg(F.max("score").alias("score"))
+    by_vector = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
     best = pairs.withColumn("rank", F.row_number().over(by_vector)).where(F.col("rank") <= keep).drop("rank")
     asked = rows.where((F.col("id") % query_divisor == 0) & (F.size("v") == size)).mapInArrow(_asked(size), "query_id long, vector binary")
-    results = asked.distinct().join(best, "vector").where("query_id <> vec_id")
+    results = asked.select("query_id", *_marks()).distinct().join(best, ["h1", "h2"]).where("query_id <> vec_id")
     results = results.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = results.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
