@@ -1,15 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Items and documents are words without the punctuation at their ends, A-Z lower-cased.
-The 3-grams of the items are counted over all documents. Those of an item that are not
-much more frequent than its rarer ones become its seeds, so that common phrases start
-nothing while an item that leaked into many documents keeps its seeds. Wherever a
+Every 3-gram of an item is a seed, however frequent it is, so that an item that leaked
+into many documents keeps its seeds, edited or cut short as it may be. Wherever a
 document holds a seed, the item is aligned with the words around it: a match earns 2, a
 different word or a gap costs 1. An item is found when the score reaches ``threshold``
-of what the whole item would earn.
+of what the whole item would earn. Common phrases start few alignments: no alignment has
+more matches than the item and the words around share, counted with their repeats, and
+where that many would not reach the threshold there is nothing to find.
 
 The seeds of at most BLOCK_WORDS words of items travel with a task; a larger benchmark
-is searched in blocks. Documents are scanned where they lie and never shuffled.
+is searched in blocks. Documents are scanned once for each block, where they lie, and
+never shuffled.
 
 Rows: NULL or empty texts and items match nothing. An item shorter than a seed is one
 seed of its own length. Repeated items and documents are each reported. NULL ids stay
@@ -32,7 +34,7 @@ SEED = 3
 THRESHOLD = 0.5
 MATCH, MISS, GAP = 2, 1, 1
 BLOCK_WORDS = 1_000_000
-COMMON_TIMES, COMMON_MORE = 2, 20
+_WINDOW_WORDS = 1 << 20  # compared at a time
 
 
 def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +65,14 @@ def _grams(codes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _owned(item: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """One hash for an item and a word."""
+    return mix(codes * np.uint64(BASE) + item.astype(np.uint64))
+
+
 @dataclass
 class Items:
-    """A block of items: their words and, sorted by hash, their seeds."""
+    """A block of items: their words, sorted by hash their seeds, and how often each word occurs in each item."""
 
     ids: list
     words: list[np.ndarray]
@@ -73,6 +80,8 @@ class Items:
     item: np.ndarray
     place: np.ndarray
     sizes: np.ndarray
+    word_keys: np.ndarray
+    word_counts: np.ndarray
 
     @classmethod
     def of(cls, rows: list) -> Items:
@@ -89,16 +98,8 @@ class Items:
         key = np.concatenate([*keys, np.zeros(0, np.uint64)])
         order = np.argsort(key, kind="stable")
         columns = [np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int64)[order] for c in (item, place, sizes)]
-        return cls([r[0] for r in rows], words, key[order], *columns)
-
-    def rare(self, counts: dict[int, int]) -> Items:
-        """Keep an item's seeds that are not much more frequent than its rarer quarter."""
-        n = np.array([counts.get(int(k), 0) for k in self.keys.view(np.int64)], np.int64)
-        low = np.zeros(len(self.ids))
-        for i in np.unique(self.item):
-            low[i] = np.quantile(n[self.item == i], 0.25, method="lower")
-        keep = n <= COMMON_TIMES * low[self.item] + COMMON_MORE if len(n) else np.zeros(0, bool)
-        return Items(self.ids, self.words, self.keys[keep], self.item[keep], self.place[keep], self.sizes[keep])
+        owner = np.repeat(np.arange(len(words)), np.diff(first))
+        return cls([r[0] for r in rows], words, key[order], *columns, *np.unique(_owned(owner, codes), return_counts=True))
 
     def hits(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, word, seed number) of every seed found within a document."""
@@ -120,6 +121,23 @@ class Items:
             return none, none, none
         return tuple(np.concatenate(x) for x in zip(*found))
 
+    def shared(self, codes: np.ndarray, item: np.ndarray, since: np.ndarray, until: np.ndarray) -> np.ndarray:
+        """How many words each item has in common with codes[since:until]; no alignment has more matches."""
+        out, at = np.zeros(len(item), np.int64), 0
+        ends = np.cumsum(until - since)
+        while at < len(item):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _WINDOW_WORDS, "right")))
+            size = (until - since)[at:to]
+            window = np.repeat(np.arange(at, to), size)
+            word = np.arange(len(window)) + np.repeat(since[at:to] - (np.cumsum(size) - size), size)
+            keys = _owned(item[window], codes[word])
+            which = np.minimum(np.searchsorted(self.word_keys, keys), len(self.word_keys) - 1)
+            known = self.word_keys[which] == keys
+            pairs, n = np.unique(window[known] * len(self.word_keys) + which[known], return_counts=True)
+            np.add.at(out, pairs // len(self.word_keys), np.minimum(n, self.word_counts[pairs % len(self.word_keys)]))
+            at = to
+        return out
+
 
 def _align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Best local score and the number of text words up to its end."""
@@ -160,17 +178,18 @@ def _matches(items: Items, data: np.ndarray, offsets: np.ndarray, threshold: flo
     slack = length[item] // 2 + 2
     apart = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(shift) > slack[1:])
     cuts = np.flatnonzero(apart) + 1
-    for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(doc)]])):
-        d, i = int(doc[lo]), int(item[lo])
-        a = max(int(first[d]), int(shift[lo]) - int(slack[lo]))
-        b = min(int(first[d + 1]), int(shift[hi - 1]) + int(length[i]) + int(slack[lo]))
+    lo, hi = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(doc)]])
+    doc, item, since, until = doc[lo], item[lo], shift[lo] - slack[lo], shift[hi - 1] + (length[item] + slack)[lo]
+    since, until = np.maximum(first[doc], since), np.minimum(first[doc + 1], until)
+    able = MATCH * items.shared(codes, item, since, until) >= threshold * MATCH * length[item]
+    for d, i, a, b in zip(*(x[able].tolist() for x in (doc, item, since, until))):
         full = MATCH * int(length[i])
         known = best.get((d, i))
         if known and known[2] >= 1.0:
             continue
-        score, since, until = smith_waterman(items.words[i], codes[a:b])
+        score, start, end = smith_waterman(items.words[i], codes[a:b])
         if score >= threshold * full and (known is None or score / full > known[2]):
-            best[d, i] = (d, i, score / full, a + since - int(first[d]), a + until - int(first[d]))
+            best[d, i] = (d, i, score / full, a + start - int(first[d]), a + end - int(first[d]))
     return list(best.values())
 
 
@@ -189,27 +208,6 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]
         yield Items.of(rows)
 
 
-def _counted(docs: DataFrame, items: Items) -> dict[int, int]:
-    """In how many documents each n-gram of the block occurs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 0):
-            codes, first = word_codes(*flat_bytes(batch.column(0)))
-            doc, _, seed = items.hits(codes, first)
-            pairs = np.unique(np.stack([items.keys[seed], doc.astype(np.uint64)], axis=1), axis=0)
-            keys, n = np.unique(pairs[:, 0], return_counts=True)
-            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
-
-    rows = docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return {r[0]: r[1] for r in rows.collect()}
-
-
-def seeded_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id") -> list[Items]:
-    """The blocks of a benchmark with their seeds chosen by the counts over all documents."""
-    texts = docs.select(F.col(text_col).cast("string"))
-    return [block.rare(_counted(texts, block)) for block in _blocks(benchmark, item_id, text_col)]
-
-
 def contaminated_passages(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_id: str = "item_id", threshold: float = THRESHOLD,
@@ -218,7 +216,7 @@ def contaminated_passages(
     schema = f"{id_col} long, {item_id} long, score double, word_from long, word_to long"
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = docs.sparkSession.createDataFrame([], schema)
-    for items in seeded_items(docs, benchmark, text_col, item_id):
+    for items in list(_blocks(benchmark, item_id, text_col)):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, 1):
@@ -240,7 +238,7 @@ def drop_contaminated(
 ) -> DataFrame:
     """The documents in which no item is found; all columns stay."""
     place = docs.columns.index(text_col)
-    for items in seeded_items(docs, benchmark, text_col, item_id):
+    for items in list(_blocks(benchmark, item_id, text_col)):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, place):

@@ -76,3 +76,17 @@ def test_empty_tables(data):
     assert contaminated_passages(docs.limit(0), benchmark).count() == 0
     assert contaminated_passages(docs, benchmark.limit(0)).count() == 0
     assert drop_contaminated(docs, benchmark.limit(0)).count() == docs.count()
+
+
+def test_edited_and_truncated_leaks_into_many_documents_are_found(spark):
+    rng = random.Random(8)
+    items = [[f"w{i}" for i in range(40)], [f"v{i}" for i in range(40)]]
+    edited = ["edited" if i in (5, 14, 23, 32) else w for i, w in enumerate(items[0])]
+    prose = [[f"x{rng.randrange(900)}" for _ in range(20)] for _ in range(100)]
+    rows = [(i, " ".join(w + (edited if i < 50 else items[1][:26]) + w)) for i, w in enumerate(prose)]
+    rows += [(1000 + i, " ".join(w + items[i % 2][:5])) for i, w in enumerate(prose)]  # seeds without an item
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in contaminated_passages(docs, benchmark).collect()}
+    assert found == {(i, int(i >= 50)): 0.85 if i < 50 else 0.65 for i in range(100)}
+    assert {r.doc_id for r in drop_contaminated(docs, benchmark).collect()} == {1000 + i for i in range(100)}
