@@ -138,13 +138,13 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
 
 
 def strip_punctuation(
-    data: np.ndarray, start: np.ndarray, end: np.ndarray, left: np.ndarray = PUNCTUATION
+    data: np.ndarray, start: np.ndarray, end: np.ndarray, left: np.ndarray = PUNCTUATION, right: np.ndarray = PUNCTUATION
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Words without ASCII punctuation at their ends; ``left`` says what goes at the start."""
+    """Words without ASCII punctuation at their ends; ``left`` and ``right`` say what goes."""
     if not len(data):
         return start, end
     index = np.arange(len(data), dtype=np.int32 if len(data) < 2**31 else np.int64)
     following = np.minimum.accumulate(np.where(left[data], index.dtype.type(len(data)), index)[::-1])[::-1]
     start = np.minimum(following[start], end).astype(np.int64)
-    before = np.maximum.accumulate(np.where(PUNCTUATION[data], index.dtype.type(-1), index))
+    before = np.maximum.accumulate(np.where(right[data], index.dtype.type(-1), index))
     return start, np.maximum(before[end - 1].astype(np.int64) + 1, start)
