@@ -1,8 +1,9 @@
-"""Substring dedup by seed and extend: cut every run of 20 words that also starts earlier.
+"""Substring dedup from winnowed anchors: cut every run of 20 words that also starts earlier.
 
-Winnowed anchors of 8 words are the seeds. Documents meet where they share one; the
-match is extended to both sides, word by word, as far as the texts agree, and counts
-from ``length`` words on (see ``repeats`` for the steps).
+Winnowed anchors of 8 words are the seeds. They are not extended to maximal repeats: what
+a run of ``length`` words around an anchor can reach, 12 words to either side, is matched
+by hash or in two sorted orders (see ``repeats`` for the steps). A longer repeat is the
+union of its runs, so the same words go.
 
 Rows: NULL text has no words. A text with fewer words than ``length`` has no window.
 Rows that repeat a document unchanged get the same result. A NULL id sorts first.
