@@ -35,7 +35,7 @@ BANDS, ROWS = 32, 4
 PERCENT = 75
 SALT_ROWS = 1000  # texts compared with one partner in one group
 PART_ROWS = 2000  # texts of a bucket compared with the others in one group
-ESTIMATE = 0.62
+ESTIMATE = 0.56
 _CHUNK = 1 << 15
 
 _A, _B = np.uint32(0x7FEB352D), np.uint32(0x846CA68B)
@@ -172,8 +172,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: in
 def _alike(percent: int):
     """Pairs of a bucket in different components whose signatures agree well enough.
 
-    ESTIMATE lies 3.4 standard deviations of 128 coordinates below the threshold. A pair
-    counts only in the first of the bands that it shares. Named are the visitor and the
+    ESTIMATE lies 5 standard deviations of 128 coordinates below the threshold, so that it
+    loses fewer pairs than the banding. A pair counts only in the first of the bands that it shares. Named are the visitor and the
     component that it must be compared with, once however many of its texts are alike.
     """
     least = round(ESTIMATE * percent / PERCENT * BANDS * ROWS)

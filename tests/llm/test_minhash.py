@@ -1,5 +1,6 @@
 """Near-duplicates against all pairs."""
 
+import math
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from llm import brute
 from pyspark.sql import functions as F
 
+from corpus_spark.llm import minhash as M
 from corpus_spark.llm.components import components
 from corpus_spark.llm.minhash import circulant_signatures, near_duplicates
 
@@ -52,3 +54,10 @@ def test_signatures_estimate_the_similarity():
     b = np.concatenate([shared, rng.integers(1, 2**63, 100, dtype=np.uint64)])
     sig = circulant_signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 512)
     assert abs((sig[0] == sig[1]).mean() - 600 / 800) < 0.08
+
+
+def test_the_estimate_loses_fewer_links_than_the_banding():
+    n, p = M.BANDS * M.ROWS, M.PERCENT / 100
+    least = round(M.ESTIMATE * n)
+    lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least))
+    assert lost < (1 - p**M.ROWS) ** M.BANDS
