@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpus_spark.llm.skew import salted_join
 from corpus_spark.session import materialize
 
 
@@ -17,6 +18,11 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Every link with its node's least neighbour; a hub's links are dealt to several tasks."""
+    return salted_join(edges, least, ["u"], F.xxhash64("v"), salts=8)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for links (u, v): the component is the least node reachable.
 
@@ -27,10 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.where("u <> v").select("u", "v").distinct(), "links")
     while True:
         both = _both(edges)
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both, _least(both)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where("u <> v").distinct(), "links")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = down.join(_least(down), "u").select(
+        small = _with_least(down, _least(down)).select(
             F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         )
         after = materialize(small.select("e.*").where("u <> v").distinct(), "links")

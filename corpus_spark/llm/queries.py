@@ -12,6 +12,7 @@ from corpus_spark.llm.decontaminate import contaminated_passages
 from corpus_spark.llm.hilbert import nearest_neighbours
 from corpus_spark.llm.minhash import near_duplicates
 from corpus_spark.llm.mixing import mix_sources, mix_sql
+from corpus_spark.llm.simhash import simhash_groups
 from corpus_spark.llm.substring import substring_report
 from corpus_spark.llm.suffix_array import suffix_array_report
 from corpus_spark.llm.tool_calls import TURN_SCHEMAS, link_tool_calls, tool_call_sql, turns_as_calls
@@ -94,3 +95,8 @@ def op5_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"))

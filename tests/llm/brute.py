@@ -84,3 +84,24 @@ def align(item, text, match=2, miss=1, gap=1):
             row.append(max(0, before[j] + (match if a == b else -miss), before[j + 1] - gap, row[j] - gap))
         best, before = max(best, *row), row
     return best
+
+
+def fingerprint(text, size=3):
+    import xxhash
+
+    w = words(text, lower=True)
+    grams = [b" ".join(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))] if w else []
+    hashes = [xxhash.xxh64_intdigest(g, seed=42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def simhash_groups(docs, radius=2):
+    """(doc_id, fingerprint, component_id) of every row."""
+    prints = [fingerprint(t) for _, t in docs]
+    links = [(i, j) for i in range(len(docs)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= radius]
+    root = components(range(len(docs)), links)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        known = least.get(root[i])
+        least[root[i]] = known if d is None else d if known is None else min(d, known)
+    return [(d, f"{prints[i]:016x}", least[root[i]]) for i, (d, _) in enumerate(docs)]
