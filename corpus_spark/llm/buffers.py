@@ -103,12 +103,12 @@ class Words:
 BLOCK = 1 << 20
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
+def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool, separators: np.ndarray = _SEPARATORS) -> Words:
     """Maximal runs of non-separators within each text; a word's hash covers all its bytes."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
-    inside = ~_SEPARATORS[data]
+    inside = ~separators[data]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     cuts = offsets[:-1][offsets[:-1] < len(data)]

@@ -12,6 +12,7 @@ from corpus_spark.llm.decontaminate import contaminated_passages
 from corpus_spark.llm.hilbert import nearest_neighbours
 from corpus_spark.llm.minhash import near_duplicates
 from corpus_spark.llm.mixing import mix_sources, mix_sql
+from corpus_spark.llm.ranked_search import search, search_sql
 from corpus_spark.llm.simhash import simhash_groups
 from corpus_spark.llm.substring import substring_report
 from corpus_spark.llm.suffix_array import suffix_array_report
@@ -100,3 +101,11 @@ def op8_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_ranked_search"] = search_sql()
