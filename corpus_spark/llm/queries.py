@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpus_spark.llm.attention_lm import lm_scores
 from corpus_spark.llm.decontaminate import contaminated_passages
+from corpus_spark.llm.hard_negatives import hard_negatives, hard_negatives_sql, integer_rows, shifted_labels
 from corpus_spark.llm.hilbert import nearest_neighbours
 from corpus_spark.llm.minhash import near_duplicates
 from corpus_spark.llm.mixing import mix_sources, mix_sql
@@ -98,6 +99,14 @@ def op8_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(shifted_labels(integer_rows(_table(spark, sf_dir, "embeddings"))))
+
+
+ORACLES["op11_hard_negatives"] = hard_negatives_sql()
+
+
 @query
 def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
