@@ -45,9 +45,10 @@ HOT_SAMPLE = 256  # one document in so many is looked at for hot triggers
 HOT_CONTEXTS = 48  # distinct contexts in the sample that make a trigger hot
 HOT_LIMIT = 8192  # hot triggers sent to the tasks, the most frequent first
 
-_FIRST = np.dtype([("key", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("lo", "<i2"), ("hi", "<i2")])
-_SPAN = np.dtype([("doc", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
-_OPEN = np.dtype([("doc", "<i8"), ("at", "<i4"), ("hot", "<i4")])
+# A document is told by tag, a hash of id and text; doc, its id, and tag give the order.
+_FIRST = np.dtype([("key", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<i4"), ("lo", "<i2"), ("hi", "<i2")])
+_SPAN = np.dtype([("tag", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
+_OPEN = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("at", "<i4"), ("hot", "<i4")])
 _PACKED = "bucket int, kind string, data binary"
 _PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("data", pa.binary())])
 
@@ -138,16 +139,16 @@ def _later(rows: np.ndarray) -> np.ndarray:
     new = np.ones(len(rows), bool)
     new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["check"][1:] != rows["check"][:-1])
     head = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
-    return (head["doc"] != rows["doc"]) | (head["at"] != rows["at"])
+    return (head["tag"] != rows["tag"]) | (head["at"] != rows["at"])
 
 
 def _sorted(rows: np.ndarray) -> np.ndarray:
-    return rows[np.lexsort((rows["at"], rows["doc"], rows["check"], rows["key"]))]
+    return rows[np.lexsort((rows["at"], rows["tag"], rows["doc"], rows["check"], rows["key"]))]
 
 
 def _spans(rows: np.ndarray) -> np.ndarray:
     out = np.empty(len(rows), _SPAN)
-    out["doc"] = rows["doc"]
+    out["tag"] = rows["tag"]
     out["lo"] = rows["at"] + rows["lo"]
     out["hi"] = rows["at"] + rows["hi"]
     return out
@@ -157,9 +158,9 @@ def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(values.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _doc_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
-    """The same number as ``pmod(id, buckets)`` in Spark."""
-    return ids % buckets
+def _doc_bucket(tags: np.ndarray, buckets: int) -> np.ndarray:
+    """The same number as ``pmod(tag, buckets)`` in Spark."""
+    return tags % buckets
 
 
 def _pack(kind: str, rows: np.ndarray, bucket: np.ndarray, out: list) -> None:
@@ -189,18 +190,18 @@ def _first_wins(rows: np.ndarray, buckets: int, out: list) -> np.ndarray:
     rows = _sorted(rows)
     later = _later(rows)
     spans = _spans(rows[later])
-    _pack("span", spans, _doc_bucket(spans["doc"], buckets), out)
+    _pack("span", spans, _doc_bucket(spans["tag"], buckets), out)
     return rows[~later]
 
 
 def _parse(unit: Unit, buckets: int, hot: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1, PIECE_BYTES):
-            ids = integers(batch.column(0))
-            symbols, offsets, _ = unit.symbols(*flat_bytes(batch.column(1)))
+        for batch in pieces(batches, "text", PIECE_BYTES):
+            ids, tags = integers(batch.column("id")), integers(batch.column("tag"))
+            symbols, offsets, _ = unit.symbols(*flat_bytes(batch.column("text")))
             doc, at, lo, hi, key, check = triggers(symbols, offsets, unit)
             rows = np.empty(len(doc), _FIRST)
-            rows["key"], rows["check"], rows["doc"], rows["at"] = key, check, ids[doc], at
+            rows["key"], rows["check"], rows["doc"], rows["tag"], rows["at"] = key, check, ids[doc], tags[doc], at
             rows["lo"], rows["hi"] = lo - at, hi - at
             out: list = []
             rows = _first_wins(rows, buckets, out)
@@ -227,15 +228,15 @@ def _look_up(buckets: int, hot: np.ndarray) -> Callable:
             split = np.isin(rows["key"], hot)
             rows, split = rows[many | split], split[many | split]
             left = np.empty(len(rows), _OPEN)
-            left["doc"], left["at"], left["hot"] = rows["doc"], rows["at"], split
-            _pack("open", left, _doc_bucket(left["doc"], buckets), out)
+            left["doc"], left["tag"], left["at"], left["hot"] = rows["doc"], rows["tag"], rows["at"], split
+            _pack("open", left, _doc_bucket(left["tag"], buckets), out)
         return _packed(out)
 
     return run
 
 
-def _by_id(ids: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row number in ids, row number in wanted) of all pairs with equal id."""
+def _by_tag(ids: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row number in ids, row number in wanted) of all pairs with equal tag."""
     order = np.argsort(wanted, kind="stable")
     sorted_ids = wanted[order]
     lo, hi = np.searchsorted(sorted_ids, ids, "left"), np.searchsorted(sorted_ids, ids, "right")
@@ -247,7 +248,7 @@ def _by_id(ids: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _context_type(unit: Unit) -> np.dtype:
     kind, reach = ("<u8" if unit.words else "u1"), unit.reach
     return np.dtype([
-        ("key", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("before", "<i2"), ("after", "<i2"),
+        ("key", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<i4"), ("before", "<i2"), ("after", "<i2"),
         ("left", kind, (reach,)), ("right", kind, (reach,)),
     ])
 
@@ -268,10 +269,10 @@ def _contexts(unit: Unit, buckets: int) -> Callable:
         out: list = []
         wanted = _unpack(packed, "open", _OPEN)
         if len(wanted) and docs.num_rows:
-            docs = docs.filter(np.isin(integers(docs["id"]), wanted["doc"]))
+            docs = docs.filter(np.isin(integers(docs["tag"]), wanted["tag"]))
         if len(wanted) and docs.num_rows:
             symbols, offsets, _ = unit.symbols(*flat_bytes(docs["text"]))
-            row, which = _by_id(integers(docs["id"]), wanted["doc"])
+            row, which = _by_tag(integers(docs["tag"]), wanted["tag"])
             place = offsets[row] + wanted["at"][which]
             fits = place + unit.trigger <= offsets[row + 1]
             row, which, place = row[fits], which[fits], place[fits]
@@ -282,7 +283,8 @@ def _contexts(unit: Unit, buckets: int) -> Callable:
                 rows["left"], rows["right"] = fetch(symbols, p, start, end)
                 rows["before"] = np.minimum(reach, p - start)
                 rows["after"] = np.minimum(reach, end - p - unit.trigger)
-                rows["doc"], rows["at"] = wanted["doc"][which[some]], p - start
+                rows["doc"], rows["tag"] = wanted["doc"][which[some]], wanted["tag"][which[some]]
+                rows["at"] = p - start
                 rows["key"] = _trigger_hash(symbols, p, unit)
                 hot = wanted["hot"][which[some]] == 1
                 _pack("context", rows[~hot], _bucket(rows["key"][~hot], buckets), out)
@@ -316,7 +318,7 @@ def _strings(rows: np.ndarray, unit: Unit) -> np.ndarray:
         one = np.empty(int(fit.sum()), _FIRST)
         one["key"] = mix(rows["key"][fit] + back[fit] * np.uint64(3) + ahead[reach - depth][fit])
         one["check"] = mix(ahead[reach - depth][fit] ^ mix(back[fit] + np.uint64(depth)))
-        one["doc"], one["at"] = rows["doc"][fit], rows["at"][fit] - depth
+        one["doc"], one["tag"], one["at"] = rows["doc"][fit], rows["tag"][fit], rows["at"][fit] - depth
         one["lo"], one["hi"] = 0, unit.length
         parts.append(one)
     return np.concatenate(parts)
@@ -347,7 +349,7 @@ def _order(unit: Unit, buckets: int) -> Callable:
         _first_wins(_unpack(table, "string", _FIRST), buckets, out)
         rows = _unpack(table, "context", _context_type(unit))
         if len(rows) > 1:
-            rows = rows[np.lexsort((rows["at"], rows["doc"]))]
+            rows = rows[np.lexsort((rows["at"], rows["tag"], rows["doc"]))]
             n = len(rows)
             left_order, left_shared = _ranks(rows["key"], rows["left"])
             right_order, right_shared = _ranks(rows["key"], rows["right"])
@@ -363,24 +365,24 @@ def _order(unit: Unit, buckets: int) -> Callable:
                 new = np.ones(len(fit), bool)
                 new[1:] = both[1:] != both[:-1]
                 head = fit[np.maximum.accumulate(np.where(new, np.arange(len(fit)), 0))] if len(fit) else fit
-                later = (rows["doc"][head] != rows["doc"][fit]) | (rows["at"][head] != rows["at"][fit])
+                later = (rows["tag"][head] != rows["tag"][fit]) | (rows["at"][head] != rows["at"][fit])
                 marked = fit[later]
                 deep[marked] = depth
                 flat[marked] = np.minimum(flat[marked], depth)
             some = deep >= 0
             spans = np.empty(int(some.sum()), _SPAN)
-            spans["doc"] = rows["doc"][some]
+            spans["tag"] = rows["tag"][some]
             spans["lo"] = rows["at"][some] - deep[some]
             spans["hi"] = rows["at"][some] - flat[some] + unit.length
-            _pack("span", spans, _doc_bucket(spans["doc"], buckets), out)
+            _pack("span", spans, _doc_bucket(spans["tag"], buckets), out)
         return _packed(out)
 
     return run
 
 
-def _covered(sizes: np.ndarray, ids: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _covered(sizes: np.ndarray, tags: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs covered by spans: (document row, lo, hi), clipped to the documents."""
-    row, which = _by_id(ids, spans["doc"])
+    row, which = _by_tag(tags, spans["tag"])
     lo = np.minimum(spans["lo"][which], sizes[row]).astype(np.int64)
     hi = np.minimum(spans["hi"][which], sizes[row]).astype(np.int64)
     row, lo, hi = row[hi > lo], lo[hi > lo], hi[hi > lo]
@@ -402,7 +404,7 @@ def _apply(unit: Unit, finish: Callable, schema: pa.Schema) -> Callable:
         data, offsets = flat_bytes(docs["text"])
         symbols, starts, words = unit.symbols(data, offsets)
         ids = integers(docs["id"])
-        runs = _covered(np.diff(starts), ids, _unpack(packed, "span", _SPAN))
+        runs = _covered(np.diff(starts), integers(docs["tag"]), _unpack(packed, "span", _SPAN))
         return finish(docs, ids, data, offsets, starts, words, runs)
 
     return run
@@ -442,18 +444,19 @@ def repeated_spans(docs: DataFrame, unit: Unit, finish: Callable, schema: T.Stru
     """Run the steps over docs (id long, text, other columns) and finish each bucket of documents.
 
     ``finish`` gets the documents' table, ids, bytes, offsets, symbol offsets, words and the
-    covered runs (document row, lo, hi) in symbols. Rows with one id are one document given
-    more than once; NULL ids count as the smallest id.
+    covered runs (document row, lo, hi) in symbols. Rows that agree in id and text are one
+    document given more than once. Other texts of one id are documents of their own, in the
+    order of a hash; so are rows without an id, which come before all others.
     """
+    docs = docs.withColumn("tag", F.xxhash64(F.col("id"), F.col("text").cast("binary")))
     buckets = bucket_count(docs)
     hot = _hot(docs.select("id", "text"), unit)
-    parsed = docs.select("id", "text").mapInArrow(_parse(unit, buckets, hot), _PACKED)
+    parsed = docs.select("id", "tag", "text").mapInArrow(_parse(unit, buckets, hot), _PACKED)
     looked = parsed.groupBy("bucket").applyInArrow(_look_up(buckets, hot), _PACKED)
     looked = materialize(looked, "repeats-looked-up")
 
-    place = F.pmod(F.coalesce("id", F.lit(-(2**63))), F.lit(buckets)).cast("int")
-    keyed = docs.withColumn("bucket", place)
-    narrow = keyed.select("bucket", "id", "text")
+    keyed = docs.withColumn("bucket", F.pmod("tag", F.lit(buckets)).cast("int"))
+    narrow = keyed.select("bucket", "tag", "text")
     opened = looked.where("kind = 'open'")
     contexts = narrow.groupBy("bucket").cogroup(opened.groupBy("bucket")).applyInArrow(_contexts(unit, buckets), _PACKED)
     ordered = contexts.groupBy("bucket").applyInArrow(_order(unit, buckets), _PACKED)

@@ -6,8 +6,9 @@ by hash or in two sorted orders (see ``repeats`` for the steps). A longer repeat
 union of its runs, so the same words go.
 
 Rows: NULL text has no words. A text with fewer words than ``length`` has no window.
-Rows that repeat a document unchanged get the same result. A NULL id sorts first.
-Other columns do not matter.
+Rows that repeat a document (id and text) get the same result. Different texts under one id
+are documents of their own, ordered by a hash of id and text; so are texts without an id,
+which sort first. Other columns do not matter.
 """
 
 from __future__ import annotations

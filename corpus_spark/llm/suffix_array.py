@@ -10,8 +10,9 @@ not a hash divisible by a number, so that no phrase outgrows a string; and the o
 is kept only to the depth of a string, so that it never needs a whole document.
 
 Rows: NULL text counts as empty. A text shorter than ``length`` has no string. Rows
-that repeat a document unchanged get the same result; a string is not earlier than
-itself. A NULL id sorts first. Other columns do not matter.
+that repeat a document (id and text) get the same result; a string is not earlier than
+itself. Different texts under one id are documents of their own, ordered by a hash of id and
+text; so are texts without an id, which sort first. Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def _cut_texts(docs, ids, data, offsets, starts, words, runs) -> pa.Table:
         cuts = [(int(runs[1][r]), int(runs[2][r])) for r in range(owner[d], owner[d + 1])]
         parts = kept_parts(data, int(offsets[d]), int(offsets[d + 1]), cuts)
         texts.append("".join(bytes(p).decode("utf-8", "ignore") for p in parts))
-    names = [n for n in docs.column_names if n != "bucket"]
+    names = [n for n in docs.column_names if n not in ("bucket", "tag")]
     out = docs.select(names).set_column(names.index("text"), "text", pa.array(texts, pa.string()))
     return out
 

@@ -62,6 +62,26 @@ def test_repeated_rows_and_other_columns(table, rows):
         assert (r.text or "") == text and r.bucket == "x"
 
 
+def test_texts_that_share_an_id(spark, rows):
+    """Only the text that repeats is cut, not another one under its id or without an id."""
+    long = " ".join(f"word{i}" for i in range(80))
+    other = " ".join(f"other{i * 7}" for i in range(90))
+    third = " ".join(f"third{i * 3}" for i in range(60))
+    odd = [(9, f"start {long} end"), (9, f"{other} {third}"), (9, third), (3, long), (None, f"x {other}"), (None, f"{long} y"), (None, "own " + "w" * 300)]
+    table = spark.createDataFrame(odd + rows, "doc_id long, text string")
+    tagged = table.select("doc_id", "text", F.xxhash64("doc_id", F.col("text").cast("binary"))).collect()
+    tagged.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    plain = list(enumerate(r[1] for r in tagged))
+    want = [(tagged[i][0], *x) for i, x in brute.suffix_report(plain).items()]
+    assert sorted(map(tuple, suffix_array_report(table).collect()), key=str) == sorted(want, key=str)
+    want = [(tagged[i][0], *x) for i, x in brute.substring_report(plain).items()]
+    assert sorted(map(tuple, substring_report(table).collect()), key=str) == sorted(want, key=str)
+    gone = {i: brute.repeats(plain, 100, lambda t: (t or "").encode())[i] for i, _ in plain}
+    want = [(tagged[i][0], bytes(b for b, c in zip(*gone[i]) if not c).decode("utf-8", "ignore")) for i in gone]
+    got = [(r.doc_id, r.text or "") for r in suffix_array_dedup(table).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_empty_table(table):
     assert suffix_array_report(table.limit(0)).count() == 0
     assert substring_report(table.limit(0)).count() == 0
