@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpus_spark.llm.decontaminate import drop_contaminated
 from corpus_spark.llm.minhash import near_duplicates
 from corpus_spark.llm.mixing import mix_sources
+from corpus_spark.llm.skew import may_hold
 from corpus_spark.llm.suffix_array import suffix_array_dedup
 from corpus_spark.llm.toxicity import learn_toxicity, score_toxicity
 from corpus_spark.session import materialize
@@ -28,9 +29,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without a doc_id cannot be told apart and all stay.
     """
-    kept = near_duplicates(docs.where("doc_id is not null")).where("kept").select("doc_id")
-    unique = docs.join(kept, "doc_id").dropDuplicates(docs.columns).select(docs.columns)
-    return unique.unionByName(docs.where("doc_id is null"))
+    found = materialize(near_duplicates(docs.where("doc_id is not null")).select("doc_id", "kept"), "near-duplicates")
+    copies = found.where("not kept").select("doc_id")
+    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # Only rows that may be copies or repeated are moved.
+    doubtful, clear = may_hold(docs, "doc_id", copies.unionByName(repeated), "doc_id")
+    doubtful = doubtful.join(copies, "doc_id", "left_anti").dropDuplicates(docs.columns)
+    return clear.unionByName(doubtful.select(docs.columns))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +50,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each time a document is taken into the training set."""
-    return mix_sources(docs)
+    """One row, text included, for each time a document is taken into the training set."""
+    return mix_sources(docs, carry=[c for c in docs.columns if c not in ("doc_id", "source")])
 
 
 STAGES = [

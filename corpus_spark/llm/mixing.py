@@ -24,6 +24,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,16 +77,17 @@ def _exponent(sizes: DataFrame, entropy: float, max_epochs: float, budget: float
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, budget: float = BUDGET,
+    entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, budget: float = BUDGET, carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(doc_id, source, n_words, weight, epoch, block_start): which documents an epoch takes.
+    """(doc_id, source, n_words, weight, epoch, block_start, carried columns): which documents an epoch takes.
 
     ``block_start`` counts the source's words before the document's block, over all epochs:
     sorting by its share of the source's budget interleaves the sources.
     """
     words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("bigint")
     name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), name.alias("name"), words.alias("n_words"))
+    carried = {f"c{i}": c for i, c in enumerate(carry)}
+    rows = docs.select(F.col(id_col).alias("id"), name.alias("name"), words.alias("n_words"), *[F.col(c).alias(k) for k, c in carried.items()])
     rows = materialize(rows, "mixing-words")
     sizes = materialize(rows.groupBy("name").agg(F.sum("n_words").alias("words"), F.count("*").alias("docs")), "sources")
     total = sizes.agg(F.sum("words")).first()[0] or 0
@@ -123,6 +125,7 @@ def mix_sources(
         F.col("id").alias(id_col),
         F.when(F.col("name") != "", F.substring(F.col("name"), 2, 2**31 - 1)).alias(source_col),
         "n_words", F.round("weight", 9).alias("weight"), "epoch", "block_start",
+        *[F.col(k).alias(c) for k, c in carried.items()],
     ]
     return full.select(*columns).unionByName(partly.where("upto <= room").select(*columns))
 
