@@ -82,7 +82,7 @@ def test_odd_rows_pass_every_stage(spark):
                 assert docs.count() == (0 if table.isEmpty() else 4)
         # Of the sources only b has words; the others have weight 0.
         assert docs.count() == (0 if table.isEmpty() else 1)
-        assert "word word" in {(r.text or "")[:9] for r in docs.collect()} or table.isEmpty()
+        assert [r.text for r in docs.collect()] == ([] if table.isEmpty() else ["word "])  # the rest repeats
 
 
 def test_texts_under_one_id_stay_whole(spark):
