@@ -27,6 +27,7 @@ from corpus_spark.catalog.registry import (
 from corpus_spark.constants import (
     EOS_ID,
     LABEL_TO_TARGET,
+    RATIO_EXAMPLES,
     SEQ2SEQ_OPTIONS,
     SEQ2SEQ_PROMPT,
     TARGET_TO_LABEL,
@@ -39,7 +40,7 @@ from corpus_spark.functions.text import tokens
 from corpus_spark.operators import metrics as M
 from corpus_spark.operators import packing as P
 from corpus_spark.operators import tokens as K
-from corpus_spark.operators.order import exact_rank, split_exact
+from corpus_spark.operators.order import exact_rank, head_n, split_exact
 from corpus_spark.operators.schema import decode_label
 from corpus_spark.operators.udf import map_batches as run_batches
 from corpus_spark.operators.udf import token_udf
@@ -274,6 +275,28 @@ blocks AS (
   FROM num_ WHERE {short} o_ < total_ // {block} * {block} GROUP BY ALL)"""
 
 
+def sql_buffers(source: str, block: int, budget: str) -> str:
+    """CTE ``blocks`` over (split, doc_id, chars, ids): each buffer starts where the last one closed."""
+    return f"""
+before_ AS (
+  SELECT split, doc_id, ids, (sum(chars) OVER (PARTITION BY split ORDER BY doc_id) - chars)::BIGINT AS c_
+  FROM {source}),
+starts_(split, c_) AS (
+  SELECT DISTINCT split, 0::BIGINT FROM before_
+  UNION ALL
+  SELECT s.split, min(b.c_) FROM starts_ s JOIN before_ b ON b.split = s.split AND b.c_ >= s.c_ + {budget}
+  GROUP BY s.split, s.c_),
+numbered_ AS (SELECT split, c_, row_number() OVER (PARTITION BY split ORDER BY c_) - 1 AS buffer FROM starts_),
+held_ AS (SELECT b.split, b.doc_id, b.ids, n.buffer FROM before_ b ASOF JOIN numbered_ n ON b.split = n.split AND b.c_ >= n.c_),
+flat_ AS (SELECT split, buffer, doc_id, unnest(ids) AS id_, generate_subscripts(ids, 1) AS p_ FROM held_),
+num_ AS (
+  SELECT *, row_number() OVER (PARTITION BY split, buffer ORDER BY doc_id, p_) - 1 AS o_,
+    count(*) OVER (PARTITION BY split, buffer) AS total_ FROM flat_),
+blocks AS (
+  SELECT split, buffer, o_ // {block} AS block, string_agg(id_::VARCHAR, ' ' ORDER BY o_) AS input_ids
+  FROM num_ WHERE o_ < total_ // {block} * {block} GROUP BY ALL)"""
+
+
 @query(
     f"WITH {sql_vocab(DOC_TEXTS)}, {sql_encode('enc', 'documents', 'doc_id', 'text', 'ids')},"
     f" {sql_blocks('enc', 64, 100, True)} SELECT batch, block, input_ids FROM blocks"
@@ -484,20 +507,19 @@ def pretrain_rows(spark, sf_dir):
 
 
 @query(
-    f"""WITH {sql_split('sp', 'documents')}, {sql_vocab(DOC_TEXTS)},
+    f"""WITH RECURSIVE {sql_split('sp', 'documents')}, {sql_vocab(DOC_TEXTS)},
     pr AS (SELECT doc_id, split, {PROMPT_SQL} AS prompt FROM sp WHERE split <> 'test'),
     {sql_encode('e0', 'pr', 'doc_id', 'prompt', 'raw')},
-    enc AS (SELECT doc_id, split, list_append(raw, 1) AS ids FROM e0),
-    {sql_blocks('enc', 128, 100, False, 'split')},
-    rat AS (SELECT round(sum(length(prompt))::DOUBLE / sum(len({sql_words('prompt')})), 6) AS ratio
-      FROM (SELECT prompt FROM pr WHERE split = 'train' ORDER BY doc_id LIMIT 400))
-    SELECT split, batch, block, input_ids, (SELECT ratio FROM rat) AS ratio FROM blocks"""
+    enc AS (SELECT doc_id, split, length(prompt) AS chars, list_append(raw, 1) AS ids FROM e0),
+    rat AS (SELECT sum(length(prompt))::DOUBLE / sum(len({sql_words('prompt')})) AS ratio
+      FROM (SELECT prompt FROM pr WHERE split = 'train' ORDER BY doc_id LIMIT 400)),
+    {sql_buffers('enc', 128, '(SELECT ceil(128 * ratio * 8)::BIGINT FROM rat)')}
+    SELECT split, buffer, block, input_ids, (SELECT round(ratio, 6) FROM rat) AS ratio FROM blocks"""
 )
 def constant_length_rows(spark, sf_dir):
+    """Buffers of 8 sequences, so that even a small table closes many."""
     rows = split_exact(_documents(spark, sf_dir), "doc_id")
-    data, ratio = T.constant_length_data(
-        rows, "text", "doc_id", _doc_vocab(spark, sf_dir), 128, batch_rows=100
-    )
+    data, ratio = T.constant_length_data(rows, "text", "doc_id", _doc_vocab(spark, sf_dir), 128, sequences=8)
     blocks = data.drop("labels").withColumn("ratio", ratio.select(F.round("ratio", 6)).scalar())
     return _text_columns(blocks, "input_ids")
 
@@ -549,8 +571,8 @@ def chars_per_token(spark, sf_dir):
     prompts = table(spark, sf_dir, "documents").select(
         "doc_id", T.train_prompt(F.col("text")).alias("prompt")
     )
-    encoded = K.encode(prompts, "prompt", _doc_vocab(spark, sf_dir))
-    ratio = M.chars_per_token(encoded, "prompt", "input_ids", "doc_id")
+    first = head_n(prompts, RATIO_EXAMPLES, "doc_id")
+    ratio = M.ratio_of(K.encode(first, "prompt", _doc_vocab(spark, sf_dir)), "prompt", "input_ids")
     return ratio.withColumn("ratio", F.round("ratio", 6))
 
 

@@ -58,6 +58,7 @@ TRIM_SEED = 42
 MAP_BATCH_ROWS = 1000
 MAX_DEFAULT_BLOCK = 1024
 RATIO_EXAMPLES = 400
+BUFFER_SEQUENCES = 1024
 REPORT_SAMPLE = 16
 
 # Fixed value: the word between the two parts of a test case.

@@ -24,6 +24,7 @@ __all__ = [
     "row_counts",
     "label_distribution",
     "chars_per_token",
+    "ratio_of",
     "confusion",
     "accuracy",
     "weighted_scores",
@@ -55,8 +56,15 @@ def chars_per_token(
     order_by: OrderBy,
     examples: int = RATIO_EXAMPLES,
 ) -> DataFrame:
-    """Characters per token over the first examples in order."""
-    first = head_n(df, examples, order_by)
+    """Characters per token over the first examples in order.
+
+    Where the ids are still to be made, take the first examples before that and use ``ratio_of``.
+    """
+    return ratio_of(head_n(df, examples, order_by), text, ids)
+
+
+def ratio_of(first: DataFrame, text: str, ids: str) -> DataFrame:
+    """(characters, tokens, ratio) of all rows."""
     chars, count = F.sum(F.length(text)), F.sum(F.size(ids))
     return first.agg(
         chars.alias("characters"), count.alias("tokens"), (chars / count).alias("ratio")

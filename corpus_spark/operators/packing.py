@@ -9,6 +9,8 @@ one block or one batch.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,12 +19,14 @@ from pyspark.sql import types as T
 from corpus_spark.constants import IGNORE_INDEX, MAP_BATCH_ROWS, MAX_DEFAULT_BLOCK
 from corpus_spark.functions.arrays import attention_mask, bind, pad_array
 from corpus_spark.operators.order import OrderBy, positions, shuffle_key
+from corpus_spark.operators.segments import budget_segments
 
 __all__ = [
     "resolve_block_size",
     "pack_blocks",
     "pack_wrapped",
     "pack_constant",
+    "pack_budget",
     "assemble_batches",
     "pad_columns",
     "pad_batches",
@@ -68,6 +72,14 @@ def _pack(
     )
     located = placed.withColumn("_size", size.cast("bigint"))
     located = located.withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    group = ([split] if split else []) + ["_bucket", "batch"]
+    return _cut(located, columns, block, group, keep_short, carried).drop("_bucket")
+
+
+def _cut(
+    located: DataFrame, columns: Sequence[str], block: int, group: Sequence[str], keep_short: bool, carried: Sequence[str] = ()
+) -> DataFrame:
+    """Blocks of each group, whose arrays of ``_size`` items lie ``_start`` items from its start."""
     start, length = F.col("_start"), F.col("_size")
     blocks = F.sequence(F.expr(f"_start div {block}"), F.expr(f"(_start + _size - 1) div {block}"))
 
@@ -83,7 +95,6 @@ def _pack(
             ],
         )
 
-    group = ([split] if split else []) + ["_bucket", "batch"]
     pieces = located.where(length > 0).select(
         *group, *carried, F.explode(F.transform(blocks, piece)).alias("_piece")
     )
@@ -95,7 +106,7 @@ def _pack(
     )
 
     packed = packed.select(
-        *[c for c in group if c != "_bucket"], "block", *carried,
+        *group, "block", *carried,
         *[F.flatten(f"_pieces.{c}").alias(c) for c in columns],
     )
     full = F.size(columns[0]) == block
@@ -176,6 +187,37 @@ def pack_constant(
     )
 
 
+def pack_budget(
+    df: DataFrame,
+    ids: str,
+    chars: str,
+    seq_length: int,
+    eos_id: int,
+    budget: int,
+    order_by: Sequence[str],
+    split: str | None = None,
+    bucket_rows: int | None = None,
+) -> DataFrame:
+    """Join documents with an end marker after each, buffer by buffer; keep only full sequences.
+
+    A buffer takes documents in order until they hold ``budget`` characters (column
+    ``chars``). Only a table of keys and sizes is ordered and summed; arrays are cut
+    at its offsets. Returns (split, buffer, block, ids, labels).
+    """
+    keys = [*([split] if split else []), *order_by]
+    ended = df.withColumn(ids, F.concat(F.coalesce(F.col(ids), F.array().cast("array<bigint>")), F.array(F.lit(eos_id).cast("bigint"))))
+    sizes = df.select(*keys, F.col(chars).alias("_chars"), (F.coalesce(F.size(ids), F.lit(0)) + 1).cast("bigint").alias("_size"))
+    placed = budget_segments(sizes, list(order_by), "_chars", budget, split, out="buffer", bucket_rows=bucket_rows)
+    within = [*([split] if split else []), "buffer"]
+    earlier = Window.partitionBy(*within).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    placed = placed.select(*[F.col(k).alias(f"_{k}") for k in keys], "buffer", "_start", "_size")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    located = ended.select(*keys, ids).join(placed, same).drop(*[f"_{k}" for k in keys])
+    packed = _cut(located, [ids], seq_length, within, keep_short=False)
+    return packed.withColumn("labels", F.col(ids))
+
+
 def assemble_batches(
     df: DataFrame,
     columns: Sequence[str],

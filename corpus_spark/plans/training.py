@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpus_spark.constants import (
+    BUFFER_SEQUENCES,
     EOS_ID,
     IGNORE_INDEX,
     INFERENCE_NO_INPUT,
@@ -23,18 +25,19 @@ from corpus_spark.constants import (
 )
 from corpus_spark.functions.arrays import attention_mask
 from corpus_spark.functions.text import fill_template, instruction_with_input
-from corpus_spark.operators.metrics import chars_per_token
-from corpus_spark.operators.order import take_per_group
+from corpus_spark.operators.metrics import ratio_of
+from corpus_spark.operators.order import head_n, take_per_group
 from corpus_spark.operators.packing import (
     assemble_batches,
     pack_blocks,
-    pack_constant,
+    pack_budget,
     pad_batches,
     pad_columns,
     resolve_block_size,
 )
 from corpus_spark.operators.schema import drop_columns, encode_label
 from corpus_spark.operators.tokens import encode, sft_encode
+from corpus_spark.session import materialize
 
 __all__ = [
     "train_prompt",
@@ -183,20 +186,27 @@ def constant_length_data(
     seq_length: int,
     max_train: int | None = None,
     eos_id: int = EOS_ID,
-    batch_rows: int = MAP_BATCH_ROWS,
+    sequences: int = BUFFER_SEQUENCES,
     examples: int = RATIO_EXAMPLES,
+    bucket_rows: int | None = None,
     **options: object,
 ) -> tuple[DataFrame, DataFrame]:
-    """Packed prompts of train and validation, and the characters-per-token ratio of train."""
+    """Packed prompts of train and validation, and the characters-per-token ratio of train.
+
+    A buffer closes at the characters that ``sequences`` sequences are expected to hold, by
+    the ratio over the first ``examples`` prompts of train; only those are encoded for it.
+    """
     rows = df.where(F.col("split").isin("train", "validation"))
     rows = limit_splits(rows, {"train": max_train} if max_train is not None else None, key)
     prompts = rows.select(key, "split", train_prompt(F.col(text)).alias("prompt"))
+    train = prompts.where(F.col("split") == "train")
+    first = encode(head_n(train, examples, key), "prompt", vocab, **options)
+    ratio = materialize(ratio_of(first, "prompt", "input_ids"), "ratio")
+    known = ratio.first()["ratio"] or 1.0
+    budget = max(1, math.ceil(seq_length * known * sequences))
     encoded = encode(prompts, "prompt", vocab, **options)
-    train = encoded.where(F.col("split") == "train")
-    ratio = chars_per_token(train, "prompt", "input_ids", key, examples)
-    packed = pack_constant(
-        encoded, "input_ids", seq_length, eos_id, key, batch_rows, split="split"
-    )
+    encoded = materialize(encoded.select(key, "split", "input_ids", F.length("prompt").alias("chars")), "encoded")
+    packed = pack_budget(encoded, "input_ids", "chars", seq_length, eos_id, budget, [key], "split", bucket_rows)
     return packed, ratio
 
 
