@@ -24,6 +24,7 @@ from corpus_spark.sources import (
     cached_or,
     copy_dataset,
     preview,
+    cached_files,
     publish,
     read_any,
     read_csv,
@@ -75,6 +76,26 @@ def text_lines(spark, sf_dir):
     return rows.groupBy("text").agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS text FROM documents)
+    SELECT text, false AS fresh, count(*) AS n FROM l GROUP BY text
+    UNION ALL SELECT text, true, count(*) FROM l WHERE lang = 'fr' GROUP BY text"""
+)
+def cached_text_files(spark, sf_dir):
+    """Lines of a folder of text files, read again after files were added: only those are fresh."""
+    root = scratch_path(spark, "files")
+    docs = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n", -1)).alias("value"))
+
+    def read():
+        return cached_files(spark, f"{root}/raw", f"{root}/cache", lambda lines: lines.where("text is not null"))
+
+    docs.select("value").write.text(f"{root}/raw/first")
+    known = [r[0] for r in read().select("batch").distinct().collect()]
+    docs.where("lang = 'fr'").select("value").write.text(f"{root}/raw/second")
+    rows = read().select("text", (~F.col("batch").isin(known)).alias("fresh"))
+    return rows.groupBy("text", "fresh").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {sql_split('s', 'documents')} SELECT doc_id, text FROM s WHERE split = 'validation'")
 def named_dataset(spark, sf_dir):
     root = scratch_path(spark, "named")

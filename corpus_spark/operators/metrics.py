@@ -19,6 +19,7 @@ from corpus_spark.operators.order import (
     running_sums,
     value_counts,
 )
+from corpus_spark.session import materialize
 
 __all__ = [
     "row_counts",
@@ -44,8 +45,8 @@ def row_counts(df: DataFrame, by: str = "split") -> DataFrame:
 
 def label_distribution(df: DataFrame, label: str) -> DataFrame:
     """(label, n, share)."""
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*").cast("double")).scalar()
+    counts = materialize(df.groupBy(label).agg(F.count("*").alias("n")), "label-counts")
+    total = counts.agg(F.sum("n").cast("double")).scalar()
     return counts.withColumn("share", F.col("n") / total)
 
 
@@ -170,16 +171,22 @@ def next_token_accuracy(
 def roc_auc(
     df: DataFrame, label: str, score: str, positive: int = 1, bucket_rows: int | None = None
 ) -> DataFrame:
-    """Area under the ROC curve; ties count half. NULL with a single class."""
+    """Area under the ROC curve; ties count half. NULL with a single class.
+
+    A NULL score or label has no place in the curve: such rows are an error.
+    """
     is_positive = F.col(label) == positive
-    scores = (
-        df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-        .groupBy(F.col(score).alias("score"))
-        .agg(
-            F.count_if(is_positive).cast("bigint").alias("pos"),
-            F.count_if(~is_positive).cast("bigint").alias("neg"),
-        )
+    scores = df.groupBy(F.col(score).alias("score")).agg(
+        F.count_if(is_positive).cast("bigint").alias("pos"),
+        F.count_if(~is_positive).cast("bigint").alias("neg"),
+        F.count("*").alias("n"),
     )
+    scores = materialize(scores, "roc-scores")
+    known = F.when(F.col("score").isNotNull(), F.col("pos") + F.col("neg")).otherwise(0)
+    missing = scores.agg(F.sum(F.col("n") - known)).first()[0]
+    if missing:
+        raise ValueError(f"{missing} rows have a NULL score or label")
+    scores = scores.drop("n")
     ranked = running_sums(scores, "score", ["neg"], bucket_rows=bucket_rows)
     below = F.col("neg_cum") - F.col("neg") / 2
     pairs = F.sum("pos").cast("double") * F.sum("neg")

@@ -58,7 +58,9 @@ def with_row_key(df: DataFrame, key: str) -> DataFrame:
     """
     if key in df.columns:
         return df
-    values = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in df.columns]
+    # Each value after its length, so that no two rows read the same.
+    texts = [F.col(c).cast("string") for c in df.columns]
+    values = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit("="), t), F.lit("-")) for t in texts]
     counted = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
     runs = F.sequence(F.lit(0), F.expr(f"cast((_n - 1) div {KEY_RUN} as int)"))
     counted = counted.withColumn("_run", F.explode(runs))

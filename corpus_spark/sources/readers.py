@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpus_spark.session import materialize
+from corpus_spark.sources.versions import current_version
+
 __all__ = [
     "read_csv",
     "read_named",
@@ -16,6 +20,7 @@ __all__ = [
     "read_splits",
     "preview",
     "cached_or",
+    "cached_files",
     "path_exists",
     "spread",
     "FILE_SUFFIXES",
@@ -80,7 +85,7 @@ def read_named(
 ) -> DataFrame:
     """A published dataset; ``split`` prunes partitions and drops the column."""
     path = "/".join([root.rstrip("/"), name, *[p for p in (subset, revision) if p]])
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(current_version(spark, path) or path)
     if split is None:
         return df
     return df.where(F.col("split") == split).drop("split")
@@ -132,7 +137,7 @@ def read_text(
 
 def read_splits(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """A dataset saved with ``write_splits``; ``split`` prunes partitions."""
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(current_version(spark, path) or path)
     return df if split is None else df.where(F.col("split") == split)
 
 
@@ -143,6 +148,45 @@ def cached_or(spark: SparkSession, path: str, build: Callable[[], DataFrame]) ->
     return spark.read.parquet(path)
 
 
+def cached_files(
+    spark: SparkSession, path: str, cache: str, build: Callable[[DataFrame], DataFrame], glob: str = "*.txt"
+) -> DataFrame:
+    """One cached result for each text file below ``path``; only new and changed files are read again.
+
+    ``build`` gets the lines (text, file) of those files and returns rows that keep the column
+    ``file``. Its result is written as a batch, then the batch's files are entered in a
+    manifest (file, size, modified, batch). A file counts as cached while size and time of
+    change are those of its last entry; results of files that are gone are not returned. A
+    run that fails leaves a batch without entries, which nobody reads.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    found = found.select(
+        F.col("_metadata.file_path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "path"
+    )
+    found = materialize(found, "files")
+    state, manifest = ["file", "size", "modified"], f"{cache.rstrip('/')}/manifest"
+    schema = found.select(*state, F.lit("").alias("batch")).schema
+
+    def entries() -> DataFrame:
+        known = spark.read.schema(schema).parquet(manifest) if path_exists(spark, manifest) else spark.createDataFrame([], schema)
+        return found.join(known, state)
+
+    changed = materialize(found.join(entries().select(*state), state, "left_anti"), "changed-files")
+    names = [r[0] for r in changed.select("path").collect()]  # as many as Spark lists to read them
+    if names:
+        batch = uuid.uuid4().hex
+        lines = spark.read.text(names).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"))
+        build(lines).write.parquet(f"{cache.rstrip('/')}/batches/batch={batch}")
+        changed.select(*state, F.lit(batch).alias("batch")).coalesce(1).write.mode("append").parquet(manifest)
+    valid = materialize(entries().select("file", "batch").distinct(), "cached-files")
+    batches = [f"{cache.rstrip('/')}/batches/batch={r[0]}" for r in valid.select("batch").distinct().collect()]
+    if not batches:
+        lines = spark.createDataFrame([], "text string, file string")
+        return build(lines).withColumn("batch", F.lit(""))
+    rows = spark.read.option("basePath", f"{cache.rstrip('/')}/batches").parquet(*batches)
+    return rows.withColumn("batch", F.col("batch").cast("string")).join(valid, ["file", "batch"], "left_semi")
+
+
 def preview(
     df: DataFrame, n: int, order_by: str | Column | Sequence[str | Column]
 ) -> tuple[int, list[str], DataFrame]:

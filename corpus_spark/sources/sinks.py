@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_spark.sources.versions import add_version, current_version, version_path
+
 __all__ = [
     "write_splits",
     "write_csv",
@@ -15,9 +19,23 @@ __all__ = [
 ]
 
 
+def _replace(df: DataFrame, path: str, by: list[str]) -> None:
+    """Write a new version of the dataset beside the current one, then switch to it."""
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    df.write.partitionBy(*by).parquet(version_path(path, version))
+    add_version(spark, path, version)
+
+
 def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Save a dataset with one folder per split."""
-    df.write.partitionBy("split").mode(mode).parquet(path)
+    """Save a dataset with one folder per split, for ``read_splits``.
+
+    Readers see the old version until the new one is complete, and for good if the write
+    fails; so ``df`` may read from ``path``. ``append`` adds to the current version.
+    """
+    if mode == "append" and current_version(df.sparkSession, path) is not None:
+        df.write.partitionBy("split").mode(mode).parquet(current_version(df.sparkSession, path))
+    else:
+        _replace(df, path, ["split"])
     return path
 
 
@@ -44,11 +62,8 @@ def publish(df: DataFrame, root: str, name: str, revision: str | None = None) ->
 
 def copy_dataset(spark: SparkSession, src: str, dst: str) -> str:
     """Copy a saved dataset to another location and keep its split folders."""
-    df = spark.read.parquet(src)
-    writer = df.write.mode("overwrite")
-    if "split" in df.columns:
-        writer = writer.partitionBy("split")
-    writer.parquet(dst)
+    df = spark.read.parquet(current_version(spark, src) or src)
+    _replace(df, dst, ["split"] if "split" in df.columns else [])
     return dst
 
 

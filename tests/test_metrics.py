@@ -103,3 +103,11 @@ def test_evaluate(spark):
     df = spark.createDataFrame(rows, "logits array<double>, y int, s double")
     got = values(evaluate(df, "logits", "y", "s"))
     assert got["accuracy"] == 0.75 and got["roc_auc"] == 0.75
+
+
+def test_roc_auc_refuses_null(spark):
+    rows = [(1, 0.9), (0, 0.1), (None, 0.5), (1, None)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    with pytest.raises(ValueError, match="2 rows"):
+        M.roc_auc(df, "label", "score")
+    assert M.roc_auc(df.dropna(), "label", "score").first().value == 1.0

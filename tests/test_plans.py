@@ -182,3 +182,10 @@ def test_a_saved_task_leaves_no_scratch(spark, tmp_path):
     cfg = clean.CleanConfig(IO_root, ["one"], save=True, target="out")
     assert clean.run_task(spark, cfg).count() == 30
     assert set(glob.glob(session._scratch_folder(spark) + "/*")) == before
+
+
+def test_keys_of_rows_that_join_to_one_text(spark):
+    """Separators inside values do not make two rows one."""
+    rows = [("a\x1f=b", "c"), ("a", "b\x1f=c"), ("a1=", None), ("a", "1=-"), (None, "-"), ("-", None), ("", "")]
+    keyed = clean.with_row_key(spark.createDataFrame(rows, "x string, y string"), "id")
+    assert keyed.select("id").distinct().count() == len(rows)

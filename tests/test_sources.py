@@ -85,3 +85,44 @@ def test_metrics_log_grows(spark, tmp_path):
 def test_preview(spark):
     count, columns, first = IO.preview(spark.range(50), 3, F.col("id"))
     assert (count, columns) == (50, ["id"]) and {r.id for r in first.collect()} == {0, 1, 2}
+
+
+def test_only_new_and_changed_files_are_read_again(spark, tmp_path):
+    folder, seen = tmp_path / "texts", []
+    folder.mkdir()
+    for name in ("a b.txt", "c.txt"):
+        (folder / name).write_text(f"{name}\nsame\n", encoding="utf-8")
+
+    def build(lines):
+        seen.append(sorted({r.file.rsplit("/", 1)[1] for r in lines.collect()}))
+        return lines.select(F.upper("text").alias("line"), "file")
+
+    def lines():
+        return sorted(r.line for r in IO.cached_files(spark, str(folder), str(tmp_path / "cache"), build).collect())
+
+    assert lines() == ["A B.TXT", "C.TXT", "SAME", "SAME"]
+    assert lines() == ["A B.TXT", "C.TXT", "SAME", "SAME"] and len(seen) == 1
+    (folder / "c.txt").write_text("changed line\n", encoding="utf-8")
+    (folder / "d.txt").write_text("added\n", encoding="utf-8")
+    assert lines() == ["A B.TXT", "ADDED", "CHANGED LINE", "SAME"]
+    assert seen[1:] == [["c.txt", "d.txt"]]
+    (folder / "d.txt").unlink()
+    assert lines() == ["A B.TXT", "CHANGED LINE", "SAME"] and len(seen) == 2
+
+
+def test_failed_publish_leaves_the_old_revision(spark, tmp_path):
+    root = str(tmp_path)
+    df = spark.range(10).withColumn("split", F.lit("train"))
+    IO.publish(df, root, "set")
+    broken = df.withColumn("id", F.when(F.col("id") == 7, F.raise_error(F.lit("half-way")).cast("long")).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="half-way"):
+        IO.publish(broken, root, "set")
+    before = IO.read_named(spark, root, "set")
+    assert before.count() == 10
+    IO.publish(before.withColumn("id", F.col("id") + 1), root, "set")  # from itself
+    assert sorted(r.id for r in IO.read_named(spark, root, "set").collect()) == list(range(1, 11))
+    assert before.count() == 10  # readers of the version before still can
+    IO.publish(df, root, "set")
+    assert len(list((tmp_path / "set" / "_current").glob("0*"))) == 2
+    IO.write_splits(df, f"{root}/set", mode="append")
+    assert IO.read_splits(spark, f"{root}/set").count() == 20
