@@ -524,7 +524,7 @@ def repack_priority(spark, sf_dir):
 KEYLESS_SQL = f"""
 src AS (SELECT CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS source, text FROM documents),
 keyed AS (
-  SELECT source, text, md5('=' || text) || ':' || (row_number() OVER (PARTITION BY source, text) - 1) AS id,
+  SELECT source, text, md5(length(text) || '=' || text) || ':' || (row_number() OVER (PARTITION BY source, text) - 1) AS id,
     source AS labels FROM src),
 {sql_split('s', 'keyed', ('source', 'id'))}"""
 
