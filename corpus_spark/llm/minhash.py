@@ -88,7 +88,7 @@ def _band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: size of the set, two hashes of the whole set, band keys."""
-    for batch in pieces(batches, 1, 2 << 20):
+    for batch in pieces(batches, 1, 1 << 20):
         data, offsets = flat_bytes(batch.column(1))
         words = split_words(data, offsets, lower=True)
         hashes, bounds = shingle_hashes(words.hash, words.first)
@@ -112,7 +112,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the text by its packed shingle set."""
-    for batch in pieces(batches, "text", 2 << 20):
+    for batch in pieces(batches, "text", 1 << 20):
         sets = shingle_sets(*flat_bytes(batch.column("text")))
         wanted = [h == int(s.sum().view(np.int64)) for h, s in zip(batch.column("h1").to_pylist(), sets)]
         packed = pa.array([s.tobytes() for s in sets], pa.binary())

@@ -37,9 +37,9 @@ from corpus_spark.llm.buffers import (
 )
 from corpus_spark.session import materialize
 
-CORE = 1 << 20
+CORE = 1 << 18
 BUCKET_BYTES = 8 << 20
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 4 << 20
 LEAST_BUCKETS = 23
 HOT_SAMPLE = 256  # one document in so many is looked at for hot triggers
 HOT_CONTEXTS = 48  # distinct contexts in the sample that make a trigger hot

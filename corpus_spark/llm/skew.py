@@ -19,13 +19,13 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt: Column
     return dealt.join(right.withColumn("_salt", every), [*keys, "_salt"], how).drop("_salt")
 
 
-WORDS = 1 << 17
+WORDS = 1 << 15
 
 
 def may_hold(df: DataFrame, column: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose ``column`` may be among the keys, rows where it is surely not).
 
-    The keys become a bitmap of their hashes with WORDS * 64 bits (1 MB), whatever their
+    The keys become a bitmap of their hashes with WORDS * 64 bits (256 kB), whatever their
     number, which every task probes inside the projection; wide rows that no join needs are not moved. NULL is no key.
     """
     place = F.pmod(F.xxhash64(F.col(key)), F.lit(WORDS * 64))
