@@ -5,7 +5,8 @@ Every 3-gram of an item is a seed, however frequent it is, so that an item that
 into many documents keeps its seeds, edited or cut short as it may be. Wherever a
 document holds a seed, the item is aligned with the words around it: a match earns 2, a
 different word or a gap costs 1. An item is found when the score reaches ``threshold``
-of what the whole item would earn. Common phrases start few alignments: no alignment has
+of what the whole item would earn. The words around reach as far as any such alignment can:
+one with more gaps than MATCH * (1 - threshold) times the item's length cannot reach the threshold. Common phrases start few alignments: no alignment has
 more matches than the item and the words around share, counted with their repeats, and
 where that many would not reach the threshold there is nothing to find.
 
@@ -175,7 +176,7 @@ def _matches(items: Items, data: np.ndarray, offsets: np.ndarray, threshold: flo
     best: dict[tuple[int, int], tuple] = {}
     if not len(doc):
         return []
-    slack = length[item] // 2 + 2
+    slack = np.floor(MATCH * (1 - threshold) * length[item] / GAP + 1e-9).astype(np.int64)
     apart = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(shift) > slack[1:])
     cuts = np.flatnonzero(apart) + 1
     lo, hi = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(doc)]])

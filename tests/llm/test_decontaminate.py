@@ -90,3 +90,27 @@ def test_edited_and_truncated_leaks_into_many_documents_are_found(spark):
     found = {(r.doc_id, r.item_id): r.score for r in contaminated_passages(docs, benchmark).collect()}
     assert found == {(i, int(i >= 50)): 0.85 if i < 50 else 0.65 for i in range(100)}
     assert {r.doc_id for r in drop_contaminated(docs, benchmark).collect()} == {1000 + i for i in range(100)}
+
+
+def test_an_item_stretched_by_inserted_words_is_found(spark):
+    item = [f"w{i}" for i in range(40)]
+    edited = ["edited" if i in (4, 12, 28, 36) else w for i, w in enumerate(item)]
+    inserted = {n: edited[:20] + [f"x{i}" for i in range(n)] + edited[20:] for n in (0, 10, 24, 25, 28, 29, 60)}
+    docs = spark.createDataFrame([(n, " ".join(["a", "b"] + w + ["c", "d"])) for n, w in inserted.items()], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in contaminated_passages(docs, benchmark).collect()}
+    best = {n: brute.align(item, w) / 80 for n, w in inserted.items()}
+    assert got == {n: s for n, s in best.items() if s >= 0.5} and 25 in got and 29 not in got
+
+
+def test_extra_columns_and_very_long_texts(spark):
+    rng = random.Random(9)
+    item = [f"w{i}" for i in range(30)]
+    words = [f"x{rng.randrange(5000)}" for _ in range(400_000)]
+    text = " ".join(words[:300_000] + item + words[300_000:])
+    docs = spark.createDataFrame([(1, text, 5, "s"), (2, " ".join(words), 6, "t")], "doc_id long, text string, item_id long, score string")
+    benchmark = spark.createDataFrame([(7, " ".join(item), 1)], "item_id long, text string, doc_id long")
+    (row,) = contaminated_passages(docs, benchmark).collect()
+    assert tuple(row) == (1, 7, 1.0, 300_000, 300_030)
+    kept = drop_contaminated(docs, benchmark)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]

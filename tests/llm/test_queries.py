@@ -3,10 +3,13 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm import brute
 from oracle import connect, differences
 
+from corpus_spark.llm.buffers import flat_bytes
+from corpus_spark.llm.decontaminate import SEED, THRESHOLD, smith_waterman, word_codes
 from corpus_spark.llm.queries import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -49,6 +52,30 @@ def test_decontamination_finds_exact_items(spark, documents):
     assert exact and exact <= got
 
 
+def test_decontamination_equals_alignment_of_whole_texts(spark, documents):
+    """Every item against every whole document with which it shares three words in a row."""
+    items = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").select("item_id", "text").collect()]
+
+    def codes(texts):
+        found, first = word_codes(*flat_bytes(pa.array(texts, pa.string())))
+        return [found[a:b] for a, b in zip(first[:-1], first[1:])]
+
+    def grams(words):
+        n = min(SEED, len(words))
+        return {tuple(words[i : i + n].tolist()) for i in range(len(words) - n + 1)} if n else set()
+
+    parts, wanted = [(i, w, grams(w)) for (i, _), w in zip(items, codes([t for _, t in items]))], {}
+    for (d, _), words in zip(documents, codes([t for _, t in documents])):
+        here = grams(words)
+        for i, item, seeds in parts:
+            if seeds & here:
+                score = smith_waterman(item, words)[0] / (2 * len(item))
+                if score >= THRESHOLD:
+                    wanted[d, i] = score
+    got = {(r.doc_id, r.item_id): r.score for r in QUERIES["op2_decontamination"](spark, SF_DIR).collect()}
+    assert wanted and got == wanted
+
+
 def test_neighbours_recall(spark):
     rows = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").select("vec_id", "embedding").collect()
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
