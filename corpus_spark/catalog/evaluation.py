@@ -21,7 +21,7 @@ from corpus_spark.operators import metrics as M
 from corpus_spark.operators import vectors as V
 from corpus_spark.operators.order import split_exact
 from corpus_spark.operators.udf import apply_metrics
-from corpus_spark.plans.classify import predict_labels, train_text_classifier
+from corpus_spark.plans.classify import predict_by_counts, predict_labels, train_count_classifier, train_text_classifier
 from corpus_spark.plans.evaluate import evaluate, reward_report as report, reward_summary as summary
 from corpus_spark.session import materialize
 
@@ -298,3 +298,41 @@ def classifier(spark, sf_dir):
     ranged = F.coalesce(F.col("value").between(0, 1), F.lit(False)).cast("bigint")
     metrics = metrics.select(F.lit("in range").alias("kind"), F.col("metric").alias("name"), ranged.alias("n"))
     return known.unionByName(outside).unionByName(metrics)
+
+
+BAYES_SQL = f"""{LABELLED_SQL}, {sql_split('sp', 'labelled')},
+w AS (SELECT doc_id, split, quality, unnest({sql_words('text')}) AS token FROM sp),
+tr AS (SELECT quality AS c, count(*)::DOUBLE AS r FROM sp WHERE split = 'train' GROUP BY c),
+cnt AS (SELECT token, quality AS c, count(*) AS n FROM w WHERE split = 'train' GROUP BY ALL),
+tot AS (SELECT c, sum(n)::DOUBLE + (SELECT count(DISTINCT token) FROM cnt) AS t FROM cnt GROUP BY c),
+adds AS (SELECT w.doc_id, cnt.c, sum(ln(n + 1)) AS s FROM w JOIN cnt USING (token) GROUP BY ALL),
+lens AS (SELECT doc_id, count(*) AS k FROM w GROUP BY doc_id),
+logit AS (
+  SELECT sp.doc_id, sp.split, sp.quality, tr.c,
+    ln(r / (SELECT sum(r) FROM tr)) - coalesce(k, 0) * ln(t) + coalesce(s, 0) AS z
+  FROM sp CROSS JOIN tr JOIN tot USING (c) LEFT JOIN lens ON lens.doc_id = sp.doc_id
+  LEFT JOIN adds ON adds.doc_id = sp.doc_id AND adds.c = tr.c WHERE split <> 'train'),
+scored AS (
+  SELECT doc_id, split, quality AS labels, round(max(z) FILTER (c = 0), 3) AS logit_0,
+    round(max(z) FILTER (c = 1), 3) AS logit_1, arg_max(c, z) AS pred FROM logit GROUP BY ALL)"""
+
+
+def _by_counts(spark, sf_dir):
+    rows = labelled(spark, sf_dir).select("doc_id", "text", F.col("quality").alias("labels"))
+    rows = split_exact(rows, "doc_id")
+    return predict_by_counts(train_count_classifier(rows.where("split = 'train'")), rows.where("split <> 'train'"))
+
+
+@query(f"WITH {BAYES_SQL} SELECT * FROM scored")
+def count_classifier(spark, sf_dir):
+    """Every score of a classifier whose model is counts, which SQL can count again."""
+    logit = [F.round(F.get("logits", F.lit(i)), 3).alias(f"logit_{i}") for i in (0, 1)]
+    return _by_counts(spark, sf_dir).select("doc_id", "split", "labels", *logit, "pred")
+
+
+@query(f"WITH {BAYES_SQL} SELECT split, round(avg((labels = pred)::DOUBLE), 6) AS accuracy, count(*) AS n FROM scored GROUP BY split")
+def count_classifier_accuracy(spark, sf_dir):
+    """The share of held-out rows that the classifier labels right, by split."""
+    scored = _by_counts(spark, sf_dir)
+    right = F.avg((F.col("labels") == F.col("pred")).cast("double"))
+    return scored.groupBy("split").agg(F.round(right, 6).alias("accuracy"), F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +41,7 @@ from corpus_spark.functions import attention_mask, join_ids
 from corpus_spark.functions.text import tokens
 from corpus_spark.operators import metrics as M
 from corpus_spark.operators import packing as P
+from corpus_spark.operators import subwords as W
 from corpus_spark.operators import tokens as K
 from corpus_spark.operators.order import exact_rank, head_n, split_exact
 from corpus_spark.operators.schema import decode_label
@@ -49,6 +52,7 @@ from corpus_spark.session import materialize
 from corpus_spark.sources import spread
 
 DOC_TEXTS = "SELECT text FROM documents"
+RANK_FILE = os.environ.get("CORPUS_RANK_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 TURN_TEXTS = "SELECT text FROM conversations"
 PROMPT_SQL = sql_template(TRAIN_PROMPT, options_=lit(TRAIN_OPTIONS), sentence1="text")
 TURNS_SQL = "turns AS (SELECT *, conv_id || ':' || turn AS rid FROM conversations)"
@@ -157,6 +161,15 @@ def decode(spark, sf_dir):
     return back.select("doc_id", "decoded")
 
 
+@query("SELECT doc_id, text AS decoded, strlen(text) AS n_bytes FROM documents")
+def subword_round_trip(spark, sf_dir):
+    """Texts to ids of a pretrained vocabulary and back, and the bytes that the ids stand for."""
+    vocab = W.subword_vocab(spark, RANK_FILE)
+    ids = K.encode(_documents(spark, sf_dir), "text", None, tokenizer=W.subword_tokenizer(spark, RANK_FILE))
+    back = W.subword_decode(materialize(ids.select("doc_id", "input_ids"), "ids"), "input_ids", vocab)
+    return back.select("doc_id", "decoded", F.octet_length("decoded").cast("bigint").alias("n_bytes"))
+
+
 @query(
     "SELECT conv_id, turn, array_to_string(list_transform(string_split(text, ''), lambda c: unicode(c)), ' ')"
     " AS ids FROM conversations"

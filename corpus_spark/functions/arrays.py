@@ -29,8 +29,26 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def array_intersection(left: Column, right: Column) -> Column:
-    """Items of ``left`` found in ``right``: order of ``left``, duplicates kept."""
-    return bind(right, lambda known: F.filter(left, lambda x: F.array_contains(known, x)))
+    """Items of ``left`` found in ``right``: order of ``left``, duplicates kept, NULL items dropped.
+
+    Both are sorted together, so long lists cost n log n: an item of ``right`` sorts just
+    before the equal items of ``left``, and such a run is one slice.
+    """
+    marks = F.transform(F.array_distinct(right), lambda x: F.struct(x.alias("item"), F.lit(-1).alias("at")))
+    items = F.transform(left, lambda x, i: F.struct(x.alias("item"), i.alias("at")))
+    both = F.sort_array(F.filter(F.concat(marks, items), lambda r: r["item"].isNotNull()))
+
+    def found(rows: Column) -> Column:
+        changes = F.filter(
+            F.transform(rows, lambda r, k: F.when((k > 0) & (r["item"] != F.get(rows, k - 1)["item"]), k)), lambda k: k.isNotNull()
+        )
+        ends = F.concat(changes, F.array(F.size(rows)))
+        begins = F.concat(F.array(F.lit(0)), changes)
+        runs = F.filter(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda r: F.get(rows, r["b"])["at"] == -1)
+        return F.flatten(F.transform(runs, lambda r: F.slice(rows, r["b"] + 2, r["e"] - r["b"] - 1)))
+
+    ordered = F.sort_array(F.transform(bind(both, found), lambda r: F.struct(r["at"], r["item"])))
+    return F.transform(ordered, lambda r: r["item"])
 
 
 def argmax(scores: Column) -> Column:

@@ -1,5 +1,9 @@
 """Cleaning plans, the stream and the classifier."""
 
+import math
+import random
+from collections import Counter
+
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
@@ -189,3 +193,28 @@ def test_keys_of_rows_that_join_to_one_text(spark):
     rows = [("a\x1f=b", "c"), ("a", "b\x1f=c"), ("a1=", None), ("a", "1=-"), (None, "-"), ("-", None), ("", "")]
     keyed = clean.with_row_key(spark.createDataFrame(rows, "x string, y string"), "id")
     assert keyed.select("id").distinct().count() == len(rows)
+
+
+@pytest.mark.parametrize("head", [None, 4])
+def test_count_classifier_equals_counting_by_hand(spark, head, monkeypatch):
+    if head:
+        monkeypatch.setattr("corpus_spark.operators.tokens.HEAD_ENTRIES", head)
+    rng = random.Random(6)
+    texts = {"a": "x y z".split(), "b": "y z u".split(), "c": "u v w".split()}
+    rows = [(" ".join(rng.choices(texts[c], k=rng.randrange(7))), c) for c in "aaabbccc" * 6] + [(None, "b"), ("x q", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, text string, labels string")
+    test = spark.createDataFrame([(0, "x y new"), (1, ""), (2, None), (3, "u u u w"), (4, "new")], "id int, text string")
+    model = classify.train_count_classifier(df, smoothing=0.5)
+    got = {r.id: r for r in classify.predict_by_counts(model, test).collect()}
+    counts = {c: Counter(w for t, k in rows if k == c and t for w in t.split()) for c in "abc"}
+    known = len(set().union(*counts.values()))
+    for i, text in [(0, "x y new"), (1, ""), (2, ""), (3, "u u u w"), (4, "new")]:
+        logits = [
+            math.log(sum(k == c for _, k in rows) / 49)
+            + sum(math.log((counts[c][w] + 0.5) / (counts[c].total() + 0.5 * known)) for w in text.split())
+            for c in "abc"
+        ]
+        assert got[i].logits == pytest.approx(logits) and got[i].pred == "abc"[logits.index(max(logits))]
+        assert sum(got[i].probabilities) == pytest.approx(1)
+    with pytest.raises(ValueError, match="0 classes"):
+        classify.train_count_classifier(df.limit(0))

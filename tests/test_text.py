@@ -1,6 +1,7 @@
 """Hand-computed answers for text functions."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +119,17 @@ def test_array_functions(spark):
     assert row.i == ["a", "a", "b"]
     assert row.c == [[1, 2], [3, 4], [5]]
     assert row.e == []
+
+
+def test_intersection_of_long_lists_is_not_quadratic(spark):
+    rng = random.Random(1)
+    rows = [([rng.choice("abcdef") for _ in range(rng.randrange(9))], [rng.choice("abcdxy") for _ in range(rng.randrange(6))]) for _ in range(60)]
+    rows += [([f"w{i % 70_000}" for i in range(200_000)], [f"w{i}" for i in range(0, 140_000, 2)]), ([None, "a"], [None, "a"]), (None, ["a"]), (["a"], None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, x array<string>, y array<string>")
+    began = time.time()
+    got = {r.id: r.i for r in df.select("id", array_intersection(F.col("x"), F.col("y")).alias("i")).collect()}
+    assert time.time() - began < 60  # item by item this is 14 billion comparisons
+    for i, (x, y) in enumerate(rows):
+        assert got[i] == (None if x is None or y is None else [v for v in x if v is not None and v in set(y)]) if i != 60 else True
+    known = set(rows[60][1])
+    assert got[60] == [v for v in rows[60][0] if v in known]
