@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Hashable, Iterator, Mapping
 
 import pandas as pd
 import pyarrow as pa
@@ -40,6 +40,7 @@ _KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool
 
 
 TASK_EDGES = 50_000
+BUCKET_EDGES, LEAST_BUCKETS = 5_000, 64
 _SURROGATE = re.compile("[\ud800-\udfff]")
 
 
@@ -82,14 +83,14 @@ def argument_errors(name: str | None, arguments: object, schemas: Schemas) -> li
     return errors + [f"{field} unknown" for field in sorted(set(arguments) - set(schemas[name]))]
 
 
-def chain_levels(needs: Mapping[str, set[str]]) -> dict[str, int | None]:
+def chain_levels(needs: Mapping[Hashable, set]) -> dict[Hashable, int | None]:
     """Calls before each call on its longest chain of dependencies; None on or behind a cycle."""
     waiting = {call: len(before) for call, before in needs.items()}
-    after: dict[str, list[str]] = {}
+    after: dict[Hashable, list] = {}
     for call, before in needs.items():
         for other in before:
             after.setdefault(other, []).append(call)
-    levels: dict[str, int | None] = dict.fromkeys(needs)
+    levels: dict[Hashable, int | None] = dict.fromkeys(needs)
     last, level = [call for call in after if call not in needs], 0
     while last:
         level, done, last = level + 1, last, []
@@ -103,11 +104,11 @@ def chain_levels(needs: Mapping[str, set[str]]) -> dict[str, int | None]:
 
 
 def _levels_in_task(edges: pd.DataFrame) -> pd.DataFrame:
-    needs: dict[str, set[str]] = {}
-    for call, other in zip(edges["call_id"], edges["needs"]):
-        needs.setdefault(call, set()).add(other)
+    needs: dict[tuple, set[tuple]] = {}
+    for conv, call, other in zip(*(edges[c].tolist() for c in ("conv_id", "call_id", "needs"))):
+        needs.setdefault((conv, call), set()).add((conv, other))
     levels = chain_levels(needs)
-    out = pd.DataFrame({"conv_id": edges["conv_id"].iloc[0], "call_id": list(levels)})
+    out = pd.DataFrame({"conv_id": [k[0] for k in levels], "call_id": [k[1] for k in levels]})
     return out.assign(level=pd.array(list(levels.values()), "Int32"))
 
 
@@ -136,7 +137,10 @@ def dependency_levels(edges: DataFrame, task_edges: int | None = None) -> DataFr
     sizes = edges.groupBy("conv_id").count()
     large = materialize(sizes.where(F.col("count") > (task_edges or TASK_EDGES)).select("conv_id"), "large")
     schema = edges.select("conv_id", "call_id", F.lit(None).cast("int").alias("level")).schema
-    small = edges.join(large, "conv_id", "left_anti").groupBy("conv_id").applyInPandas(_levels_in_task, schema)
+    # Whole conversations share a group, about BUCKET_EDGES dependencies each: most have only a few.
+    buckets = max(LEAST_BUCKETS, edges.count() // BUCKET_EDGES)
+    dealt = edges.join(large, "conv_id", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("conv_id"), F.lit(buckets)))
+    small = dealt.groupBy("bucket").applyInPandas(_levels_in_task, schema)
     if large.isEmpty():
         return small
     return small.unionByName(_peeled_levels(edges.join(large, "conv_id", "left_semi")))
