@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,9 +76,20 @@ def flat_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release_memory() -> None:
+    """Give freed arrays back to the machine: a worker outlives its task and would keep them beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: int | str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut to about ``size`` bytes of a text column (or one row), to bound what a task holds."""
     for batch in batches:
+        release_memory()
         texts = batch.column(column)
         if not len(texts):
             yield batch
@@ -88,6 +100,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int | str, size: int = 4 <
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch, texts, ends
+    release_memory()
 
 
 @dataclass

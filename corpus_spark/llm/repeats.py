@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpus_spark.llm.buffers import (
-    BASE, BYTE_CODES, INVERSE, flat_bytes, integers, mix, pieces, powers, split_words,
+    BASE, BYTE_CODES, INVERSE, flat_bytes, integers, mix, pieces, powers, release_memory, split_words,
 )
 from corpus_spark.session import materialize
 
@@ -216,6 +216,7 @@ def _look_up(buckets: int, hot: np.ndarray) -> Callable:
     """Equal contexts become spans, triggers with one context go, the rest stays open."""
 
     def run(table: pa.Table) -> pa.Table:
+        release_memory()
         out: list = []
         for span in (d.as_py() for d, k in zip(table["data"], table["kind"].to_pylist()) if k == "span"):
             out.append((table["bucket"][0].as_py(), "span", span))
@@ -266,6 +267,7 @@ def _contexts(unit: Unit, buckets: int) -> Callable:
         return left, right
 
     def run(docs: pa.Table, packed: pa.Table) -> pa.Table:
+        release_memory()
         out: list = []
         wanted = _unpack(packed, "open", _OPEN)
         if len(wanted) and docs.num_rows:
@@ -342,6 +344,7 @@ def _order(unit: Unit, buckets: int) -> Callable:
     reach = unit.reach
 
     def run(table: pa.Table) -> pa.Table:
+        release_memory()
         out: list = []
         number = table["bucket"][0].as_py()
         for span in (d.as_py() for d, k in zip(table["data"], table["kind"].to_pylist()) if k == "span"):
@@ -399,6 +402,7 @@ def _covered(sizes: np.ndarray, tags: np.ndarray, spans: np.ndarray) -> tuple[np
 
 def _apply(unit: Unit, finish: Callable, schema: pa.Schema) -> Callable:
     def run(docs: pa.Table, packed: pa.Table) -> pa.Table:
+        release_memory()
         if not docs.num_rows:
             return schema.empty_table()
         data, offsets = flat_bytes(docs["text"])
