@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
@@ -56,6 +56,7 @@ BUCKET_ROWS = 50_000
 NARROW_BUCKET_ROWS = 500_000
 MAX_BUCKETS = 65_536
 SAMPLE_PER_BUCKET = 16
+HEAVY_RANGE = 4  # times its usual rows: no even draw of SAMPLE_PER_BUCKET keys gets there
 SORT_LIMIT = 32
 
 
@@ -82,6 +83,7 @@ class _Ranges:
     names: list[str]
     bounds: list[Row]
     base: list[list[int]]
+    sizes: dict[int, int] = field(default_factory=dict)  # rows of each range, if rows were counted
 
 
 def _with_keys(
@@ -99,14 +101,17 @@ def _bucket_total(rows: int, bucket_rows: int) -> int:
 def _split_points(keys: DataFrame, names: list[str], groups: int, parts: int, rows: int) -> list[Row]:
     """At most ``parts`` sampled keys, plus the first key of every group.
 
-    The sample is bounded by SAMPLE_PER_BUCKET * MAX_BUCKETS narrow rows. It
-    only decides how even the ranges are, never the result.
+    The sample holds about SAMPLE_PER_BUCKET different keys for each range and is sorted
+    in tasks of about BUCKET_ROWS. It only decides how even the ranges are, never the result.
     """
     candidates = []
     if parts > 1:
         step = max(1, rows // (parts * SAMPLE_PER_BUCKET))
-        sample = keys.where(F.pmod(F.xxhash64(*names), F.lit(step)) == 0)
-        numbered = sample.withColumn("_r", F.row_number().over(Window.orderBy(*names)))
+        sample = keys.where(F.pmod(F.xxhash64(*names), F.lit(step)) == 0).distinct()
+        tasks = math.ceil(parts * SAMPLE_PER_BUCKET / BUCKET_ROWS)
+        ordered = sample.repartitionByRange(tasks, *names).sortWithinPartitions(*names)
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within the task
+        numbered = ordered.withColumn("_r", place + 1)
         candidates.append(numbered.where(F.col("_r") % SAMPLE_PER_BUCKET == 0).select(*names))
     if groups:
         first = F.min(F.struct(*names)).alias("_first")
@@ -180,7 +185,23 @@ def _ranges(
                 running, group = zero, owner
             base[bucket] = running
             running = [a + b for a, b in zip(running, totals.get(bucket, zero))]
-    return _Ranges(names, bounds, base), rows
+    sizes = {b: t[0] for b, t in totals.items()} if bounds and values is None else {}
+    return _Ranges(names, bounds, base, sizes), rows
+
+
+def _refuse_heavy_keys(keys: DataFrame, ranges: _Ranges, rows: int) -> None:
+    """Fail on a key that repeats so often that one task would sort its range alone.
+
+    Different keys fill their ranges evenly; only the ranges that they do not are looked at.
+    """
+    usual = max(NARROW_BUCKET_ROWS, rows // (len(ranges.bounds) + 1))
+    heavy = sorted(b for b, n in ranges.sizes.items() if n > HEAVY_RANGE * usual)
+    if not heavy:
+        return
+    near = _with_bucket(keys, ranges.names, ranges.bounds).where(F.col("_bucket").isin(heavy))
+    again = near.groupBy(*ranges.names).count().where("count > 1").select("count").first()
+    if again is not None:
+        raise ValueError(f"order_by is not unique: a key is there {again[0]} times, add a key column")
 
 
 def _numbered(df: DataFrame, ranges: _Ranges, name: str, flag_ties: bool = False) -> DataFrame:
@@ -226,6 +247,7 @@ def positions(
     keyed, names, groups = _with_keys(df, order_by, within)
     keys = keyed.select(*names) if written else materialize(keyed.select(*names), "keys")
     ranges, rows = _ranges(keys, names, groups, None, NARROW_BUCKET_ROWS)
+    _refuse_heavy_keys(keys, ranges, rows)
     parts = _bucket_total(rows, bucket_rows or BUCKET_ROWS)
     if parts > 1 or rows > NARROW_BUCKET_ROWS:
         # Even ranges for the wide rows start at every stride-th position.
@@ -292,10 +314,21 @@ def _keys_at(keys: DataFrame, names: list[str], wanted: Sequence[int], bucket_ro
     ranges, _ = _ranges(keys, names, 0, None, bucket_rows or NARROW_BUCKET_ROWS)
     first = [b[0] for b in ranges.base]
     needed = {max(i for i, start in enumerate(first) if start <= p) for p in wanted}
-    near = _with_bucket(keys, names, ranges.bounds).where(F.col("_bucket").isin(sorted(needed)))
-    found = _numbered(near.drop("_bucket"), ranges, "_pos", flag_ties=True)
-    rows = _without_ties(found.where(F.col("_pos").isin(wanted)).collect())
-    return {r["_pos"]: Row(*[r[n] for n in names]) for r in rows}
+    near = _with_bucket(keys, names, ranges.bounds, ranges.base).where(F.col("_bucket").isin(sorted(needed)))
+    # Equal keys are counted before they move: one row each, however often a key repeats.
+    counted = near.groupBy("_bucket", *names).agg(F.min(F.get("_base", F.lit(0))).alias("_start"), F.count("*").alias("_n"))
+    upto = Window.partitionBy("_bucket").orderBy(*names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = counted.withColumn("_end", F.col("_start") + F.sum("_n").over(upto))
+    first, end = F.col("_end") - F.col("_n"), F.col("_end")
+    places = F.array(*[F.lit(p).cast("bigint") for p in wanted])
+    hits = ends.select(*names, first.alias("_first"), F.filter(places, lambda p: (p >= first) & (p < end)).alias("_hits"))
+    found = {}
+    for r in hits.where(F.size("_hits") > 0).collect():
+        for p in r["_hits"]:
+            if p > r["_first"]:
+                raise ValueError(f"order_by is not unique around position {p}: add a key column")
+            found[p] = Row(*[r[n] for n in names])
+    return found
 
 
 def _before(columns: list[Column], cut: Row, types: list[T.DataType]) -> Column:

@@ -8,7 +8,7 @@ size of the vocabulary.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,12 +142,14 @@ def lookup_list(
     out: str,
     default: Column,
     head_entries: int | None = None,
+    spent: Sequence[str] = (),
 ) -> DataFrame:
     """Replace every item of an array through a (key, value) table with dense ids.
 
     Items outside the head of the table are joined and put back by position. For that
     the probed rows are written once, with a number of their own: the texts are read
-    and cut once, and rows may repeat. Rows without such items are not moved.
+    and cut once, and rows may repeat. Rows without such items are not moved. Columns
+    named in ``spent`` only serve ``items``: they are neither written nor returned.
     """
     head_entries = head_entries or HEAD_ENTRIES
     in_head = F.col("id") < head_entries
@@ -163,7 +165,7 @@ def lookup_list(
 
     if tail.isEmpty():
         found = F.transform(items, lambda x: F.coalesce(probe(x), default))
-        return mapped.withColumn(out, found).drop("_lookup")
+        return mapped.withColumn(out, found).drop("_lookup", *spent)
 
     mapped = mapped.withColumn("_items", items).withColumn("_found", F.transform("_items", probe))
     paired = F.zip_with(
@@ -176,7 +178,7 @@ def lookup_list(
         F.filter(placed, lambda r: r["hit"].isNull()), lambda r: F.struct(r["pos"], r["item"])
     )
     mapped = mapped.withColumns({"_row": F.monotonically_increasing_id(), "_missed": missed})
-    written = materialize(mapped.drop("_lookup", "_items"), "probed")
+    written = materialize(mapped.drop("_lookup", "_items", *spent), "probed")
     whole = F.coalesce(F.size("_missed"), F.lit(0)) == 0
 
     # Too large to broadcast, whatever an estimate says: merge join. A frequent item that
@@ -193,7 +195,7 @@ def lookup_list(
         lambda r: r["hit"].isNotNull(),
     )
     merged = F.transform(F.array_sort(F.concat(known, F.col("_late"))), lambda r: r["hit"])
-    columns = [c for c in df.columns if c != out]
+    columns = [c for c in df.columns if c != out and c not in spent]
     complete = written.where(whole).select(*columns, F.col("_found").alias(out))
     mended = written.where(~whole).drop("_missed").join(late, "_row").select(*columns, merged.alias(out))
     return complete.unionByName(mended)
@@ -257,6 +259,31 @@ def decode(
     return df.withColumn(joined, F.array_join(out, "" if mode == "char" else " "))
 
 
+def _encode_columns(
+    df: DataFrame,
+    texts: Mapping[str, Column],
+    vocab: DataFrame | None,
+    mode: str = "word",
+    unk_id: int = UNK_ID,
+    specials: Sequence[str] | None = None,
+    tokenizer: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Add the ids of several texts through one lookup of all their tokens, cut apart again by size."""
+    if tokenizer is not None:
+        return df.withColumns({out: tokenizer(text).cast("array<bigint>") for out, text in texts.items()})
+    names = special_names() if specials is None else specials
+    df = df.withColumn("_lists", F.array(*[tokens(text, mode, names) for text in texts.values()]))
+    df = df.withColumn("_sizes", F.transform("_lists", lambda x: F.when(x.isNotNull(), F.size(x))))
+    items = F.flatten(F.transform("_lists", lambda x: F.coalesce(x, F.array().cast("array<string>"))))
+    df = lookup_list(df, items, vocab, "token", "id", "_ids", F.lit(unk_id).cast("bigint"), spent=["_lists"])
+    start, cut = F.lit(1), {}
+    for i, out in enumerate(texts):
+        size = F.get("_sizes", F.lit(i))
+        cut[out] = F.slice("_ids", start, size)
+        start = start + F.coalesce(size, F.lit(0))
+    return df.withColumns(cut).drop("_ids", "_sizes")
+
+
 def sft_encode(
     df: DataFrame,
     source: str,
@@ -264,6 +291,8 @@ def sft_encode(
     vocab: DataFrame | None,
     max_len: int,
     pad_id: int = PAD_ID,
+    bos_id: int | None = None,
+    eos_id: int | None = None,
     **options: object,
 ) -> DataFrame:
     """Encode source and target as one text; labels hide the source.
@@ -271,12 +300,13 @@ def sft_encode(
     The hidden length is that of the source encoded alone, as both are cut at
     ``max_len``; pad ids do not count.
     """
-    df = df.withColumn("_full", F.concat(F.col(source), F.col(target)))
-    df = encode(df, "_full", vocab, "input_ids", max_len=max_len, **options)
-    df = encode(df, source, vocab, "_source_ids", max_len=max_len, **options)
+    full = F.concat(F.col(source), F.col(target))
+    df = _encode_columns(df, {"input_ids": full, "_source_ids": F.col(source)}, vocab, **options)
+    for out in ("input_ids", "_source_ids"):
+        df = df.withColumn(out, _wrap_and_cut(F.col(out), max_len, bos_id, eos_id))
     length = F.size(F.filter("_source_ids", lambda x: x != F.lit(pad_id)))
     labels = mask_prefix(F.col("input_ids"), length, IGNORE_INDEX)
-    return df.withColumn("labels", labels).drop("_full", "_source_ids")
+    return df.withColumn("labels", labels).drop("_source_ids")
 
 
 def sft_encode_concat(
@@ -290,8 +320,8 @@ def sft_encode_concat(
     **options: object,
 ) -> DataFrame:
     """Encode source and target apart, the target without special ids, and join the ids."""
-    df = encode(df, source, vocab, "_s", bos_id=bos_id, eos_id=eos_id, **options)
-    df = encode(df, target, vocab, "_t", **options)
+    df = _encode_columns(df, {"_s": F.col(source), "_t": F.col(target)}, vocab, **options)
+    df = df.withColumn("_s", _wrap_and_cut(F.col("_s"), None, bos_id, eos_id))
     hidden = F.array_repeat(F.lit(IGNORE_INDEX).cast("bigint"), F.size("_s"))
     return df.withColumns(
         {

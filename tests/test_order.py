@@ -205,3 +205,22 @@ def test_take_per_group_with_a_null_group(spark):
     df = spark.createDataFrame([(None, i) for i in range(9)] + [("a", i) for i in range(4)], "cls string, id long")
     got = O.take_per_group(df, "cls", {None: 3}, "id")
     assert {r[0]: r[1] for r in got.groupBy("cls").count().collect()} == {None: 3, "a": 4}
+
+
+def test_a_heavy_key_is_refused_before_it_is_sorted(spark, monkeypatch):
+    monkeypatch.setattr(O, "NARROW_BUCKET_ROWS", 50)
+    even = spark.range(600).select("id")
+    assert sorted(r.pos for r in O.positions(even, "id").collect()) == list(range(600))
+    heavy = even.unionByName(spark.range(900).select(F.lit(300).cast("long").alias("id")))
+    with pytest.raises(ValueError, match="901 times"):
+        O.positions(heavy, "id")
+
+
+def test_cuts_beside_a_heavy_key(spark, monkeypatch):
+    monkeypatch.setattr(O, "SORT_LIMIT", 0)
+    df = spark.range(100).unionByName(spark.range(500).select(F.lit(40).cast("long").alias("id")))
+    got = [r.id for r in O.head_n(df, 40, "id", bucket_rows=20).collect()]
+    assert sorted(got) == list(range(40))
+    assert O.head_n(df, 541, "id", bucket_rows=20).count() == 541
+    with pytest.raises(ValueError, match="not unique around position 300"):
+        O.head_n(df, 300, "id", bucket_rows=20)

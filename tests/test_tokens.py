@@ -156,3 +156,29 @@ def test_mean_pool(spark):
     unit = {r.k: r.vector for r in mean_pool(df, "k", "v", "m").collect()}
     assert unit[1] == pytest.approx([0.447214, 0.894427], abs=1e-6)
     assert unit[2] == [0.0, 0.0]
+
+
+def test_pairs_share_one_lookup(spark, monkeypatch):
+    """NULL and empty texts, unknown and rare tokens; the rare ones take the join."""
+    words = [("</s>", 0, 0), *[(f"w{i}", i, 9) for i in range(1, 9)]]
+    vocab = spark.createDataFrame(words, "token string, id bigint, n bigint")
+    rows = [(1, "w1 w8", " w2"), (2, "", "w7 w9"), (3, None, "w3"), (4, "w4", None), (5, "w5 w9 w6", "")]
+    df = spark.createDataFrame(rows, "id int, s string, t string")
+    ids = {token: i for token, i, _ in words}
+
+    def by_hand(text, room=None):
+        return None if text is None else [ids.get(w, 3) for w in text.split()][:room]
+
+    for head in (K.HEAD_ENTRIES, 4):
+        monkeypatch.setattr(K, "HEAD_ENTRIES", head)
+        got = {r.id: r for r in K.sft_encode(df, "s", "t", vocab, 4, unk_id=3, pad_id=-1).collect()}
+        apart = {r.id: r for r in K.sft_encode_concat(df, "s", "t", vocab, 9, unk_id=3, eos_id=0).collect()}
+        for i, s, t in rows:
+            full = None if s is None or t is None else by_hand(s + t, 4)
+            assert got[i].input_ids == full
+            if full is not None:
+                hidden = min(len(by_hand(s)), 4)
+                assert got[i].labels == [-100] * hidden + full[hidden:]
+                assert apart[i].input_ids == by_hand(s) + [0] + by_hand(t)
+                assert apart[i].labels == [-100] * (len(by_hand(s)) + 1) + by_hand(t)
+        assert set(got[1].asDict()) == {"id", "s", "t", "input_ids", "labels"}
