@@ -1,5 +1,6 @@
 """Suffix-array and substring dedup against plain search for repeated strings."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ from llm import brute
 from pyspark.sql import functions as F
 
 from corpus_spark.llm import repeats as R
-from corpus_spark.llm.substring import substring_report
+from corpus_spark.llm.substring import substring_dedup, substring_report, substring_spans
 from corpus_spark.llm.suffix_array import suffix_array_dedup, suffix_array_report
 
 
@@ -100,3 +101,23 @@ def test_triggers_do_not_depend_on_the_pieces(monkeypatch):
     for doc in (2, 4):  # every string of 100 bytes holds a trigger
         for i in range(offsets[doc], offsets[doc + 1] - 99):
             assert ((place >= i) & (place + 32 <= i + 100)).any()
+
+
+def test_texts_and_passages_of_word_runs(spark):
+    """Texts, passages and the report tell the same; other columns come along, NULL text stays NULL."""
+    run = [f"r{i}" for i in range(8)]
+    rows = [
+        (1, "a  b " + " ".join(run) + " c", "x"),
+        (2, "d " + "\n".join(run) + "  e  f", None),
+        (3, "g\th  i", "y"),
+        (4, None, "z"),
+        (None, "", "w"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    texts = {(r.doc_id, r.tag): r.text for r in substring_dedup(docs, length=5).collect()}
+    assert texts == {(1, "x"): rows[0][1], (2, None): "d e f", (3, "y"): rows[2][1], (4, "z"): None, (None, "w"): ""}
+    spans = [tuple(r) for r in substring_spans(docs, length=5).collect()]
+    assert spans == [(2, 1, 8, "\n".join(run))]
+    report = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_report(docs, length=5).collect()}
+    assert report[2] == (11, 8, hashlib.sha256(b"d e f").hexdigest())
+    assert substring_spans(docs.limit(0), length=5).count() == 0
