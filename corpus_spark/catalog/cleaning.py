@@ -286,18 +286,19 @@ def repack_pipes(spark, sf_dir):
     f" FROM (SELECT *, CAST('0x' || substr({sql_shuffle(5, 'doc_id')}, 1, 8) AS BIGINT) % 10 AS h FROM packed)"
 )
 def stream_clean(spark, sf_dir):
-    """The cleaning steps as a stream over the table's file, read back as a table."""
+    """The cleaning steps as a stream over the table's files, read back as a table."""
     out = scratch_path(spark, "stream")
     source = table(spark, sf_dir, "documents")
 
     def step(rows: DataFrame) -> DataFrame:
         return clean_step(rows, "doc_id", index=1, separators=DOC_SEPARATORS)
 
-    clean_stream(
-        spark, sf_dir, f"{out}/rows", f"{out}/state", source.schema, step, "doc_id",
-        glob="documents.parquet",
-    )
-    return spark.read.parquet(f"{out}/rows").select("doc_id", "input", "instruction", "output", "split")
+    # As a pattern the table may be one file or a folder of files.
+    path = f"{sf_dir}/{{documents.parquet}}"
+    clean_stream(spark, path, f"{out}/rows", f"{out}/state", source.schema, step, "doc_id")
+    schema = step(source).withColumn("split", F.lit("")).schema
+    rows = spark.read.schema(schema).parquet(f"{out}/rows")
+    return rows.select("doc_id", "input", "instruction", "output", "split")
 
 
 @query(

@@ -8,6 +8,8 @@ import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
+from corpus_spark.catalog import QUERIES
+from corpus_spark.catalog.registry import DOC_SEPARATORS
 from corpus_spark.operators import schema as S
 from corpus_spark.operators.order import split_counts, split_exact
 from corpus_spark.plans import classify, clean, training
@@ -118,6 +120,23 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(streamed.select(wanted.columns).collect()) == sorted(wanted.collect())
 
 
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_stream_query_takes_one_file_or_a_folder(spark, tmp_path, files):
+    """Three files are a folder, one is a plain file, none is an empty folder table."""
+    texts = [(i, "a\nb" * (i % 5), i) for i in range(40 if files else 0)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, n_chars long")
+    df.repartition(max(files, 1)).write.parquet(str(tmp_path / "written"))
+    if files == 1:
+        next((tmp_path / "written").glob("part-*")).rename(tmp_path / "documents.parquet")
+    else:
+        (tmp_path / "written").rename(tmp_path / "documents.parquet")
+    got = QUERIES["stream_clean"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "input", "instruction", "output", "split"]
+    wanted = clean_step(df, "doc_id", index=1, separators=DOC_SEPARATORS).select("doc_id", "input")
+    assert sorted(got.select("doc_id", "input").collect()) == sorted(wanted.collect())
+    assert got.count() == len(texts)
+
+
 def test_training_batches(spark):
     rows = [(i, "a b c"[: 1 + 2 * (i % 3)], i % 2) for i in range(20)]
     df = split_exact(spark.createDataFrame(rows, "id long, text string, labels int"), "id")
