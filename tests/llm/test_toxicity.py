@@ -68,6 +68,23 @@ def test_odd_rows(spark, data, model):
     assert score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_all_labelled_documents_are_learnt_from(spark):
+    """Many copies of a plain document beside a few toxic ones: no draw of the rows may lose these."""
+    rows = spark.range(30_000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 1500 == 0, "the river wretched stone").otherwise("the river water stone").alias("text"),
+        (F.col("id") % 1500 == 0).cast("int").alias("toxic"),
+    )
+    train = rows.where(crc_fold("doc_id", 5) != 0)
+    n, bad = train.count(), train.where("toxic = 1").count()
+    model = learn_toxicity(rows, rows)
+    toxic, plain = model.score(*flat_bytes(pa.array(["the wretched river", "the river"])), {})
+    assert bad > 10 and n > 20_000 and toxic > 0.9 and plain < 0.01
+    # A word's cost is its negative log share of the words of all rows learnt from.
+    assert model.lexicon["the"] == pytest.approx(np.log(4))
+    assert model.lexicon["wretched"] == pytest.approx(np.log(4 * n / bad))
+
+
 def test_without_labels(data):
     docs, labels = data
     assert learn_toxicity(docs, labels.limit(0)).share == 0.0
