@@ -8,10 +8,12 @@ Encoding runs on Arrow batches; decoding stays in the JVM.
 
 from __future__ import annotations
 
+from array import array
 from base64 import b64decode
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,10 +61,16 @@ def subword_tokenizer(spark: SparkSession, path: str, pieces: str = PIECES) -> C
     """
     ranks = _rank_file(spark, path)
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def run(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def run(texts: pa.Array) -> pa.Array:
         encode = _encoder(ranks, pieces)
-        return texts.map(lambda t: None if t is None else encode(t))
+        # One text at a time becomes Python objects; the ids of a batch are kept as 8 bytes each.
+        ids, ends = array("q"), array("i", [0])
+        for text in texts:
+            if text.is_valid:
+                ids.extend(encode(text.as_py()))
+            ends.append(len(ids))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(ids, np.int64)), mask=texts.is_null())
 
     return run
 

@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 from corpus_spark.catalog.training import RANK_FILE
@@ -36,6 +37,15 @@ def test_round_trip(spark, encoded, head, monkeypatch):
     assert len(back) == len(TEXTS) + 1 and all(r.decoded == r.text for r in back)
 
 
+def test_ids_of_a_batch_are_no_python_objects(spark):
+    """Batches go in and out as Arrow arrays; a NULL among texts, a slice and no text at all."""
+    run = W.subword_tokenizer(spark, RANK_FILE).func
+    got = run(pa.array([None, "a b", None, "", "c"]).slice(1))
+    assert got.type == pa.list_(pa.int64()) and [x is None for x in got.to_pylist()] == [False, True, False, False]
+    assert [len(x) for x in got.to_pylist() if x is not None] == [2, 0, 1]
+    assert len(run(pa.array([], pa.string()))) == 0
+
+
 def test_cut_texts_unknown_and_skipped_ids(spark):
     vocab = W.subword_vocab(spark, RANK_FILE)
     smile = K.encode(spark.createDataFrame([("x😀",)], "text string"), "text", None, tokenizer=W.subword_tokenizer(spark, RANK_FILE), max_len=2)
