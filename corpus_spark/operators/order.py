@@ -144,23 +144,31 @@ def _with_bucket(
         T.StructField("fine", T.ArrayType(key_type)),
         T.StructField("base", T.ArrayType(T.ArrayType(T.LongType()))),
     ]
-    points = [tuple(b) for b in bounds]
+    fine = [tuple(b) for b in bounds]
     table = df.sparkSession.createDataFrame(
-        [(points[::width], points, base or [])], T.StructType(fields)
+        [(fine[::width], fine, base or [])], T.StructType(fields)
     )
     row = table.select(F.struct("coarse", "fine", "base").alias("row")).scalar()
     key = F.struct(*[F.col(n) for n in names])
-    df = df.withColumn("_points", row)
-    coarse = F.size(F.filter("_points.coarse", lambda b: b <= key))
 
-    def refined(start: Column) -> Column:
-        near = F.slice(F.col("_points.fine"), start + 1, F.lit(width))
-        return start + F.size(F.filter(near, lambda b: b <= key))
+    def placed(points: Column) -> Column:
+        coarse = F.size(F.filter(points["coarse"], lambda b: b <= key))
 
-    df = df.withColumn("_bucket", bind(F.greatest(coarse - 1, F.lit(0)) * width, refined))
-    if base is not None:
-        df = df.withColumn("_base", F.get(F.col("_points.base"), F.col("_bucket")))
-    return df.drop("_points")
+        def refined(start: Column) -> Column:
+            near = F.slice(points["fine"], start + 1, F.lit(width))
+            return start + F.size(F.filter(near, lambda b: b <= key))
+
+        bucket = bind(F.greatest(coarse - 1, F.lit(0)) * width, refined)
+        if base is None:
+            return bucket
+        return bind(bucket, lambda n: F.struct(n.alias("bucket"), F.get(points["base"], n).alias("base")))
+
+    # One expression uses the points and nothing passes them on, so that they are inlined: as
+    # a column of a projection all of them would be copied into every row.
+    df = df.withColumn("_points", row).withColumn("_place", bind(F.col("_points"), placed)).drop("_points")
+    if base is None:
+        return df.withColumnRenamed("_place", "_bucket")
+    return df.withColumns({"_bucket": F.col("_place.bucket"), "_base": F.col("_place.base")}).drop("_place")
 
 
 def _ranges(

@@ -160,6 +160,8 @@ def lookup_list(
     slots = max(64, min(LOOKUP_SLOTS, head.count() // 4))
     mapped = df.withColumn("_lookup", _head_lookup(head, key, value, slots))
 
+    # One expression uses the lookup and nothing passes it on, so that it is inlined: as a
+    # column of a projection the whole lookup would be copied into every row.
     def probe(item: Column) -> Column:
         return F.try_element_at(F.get(F.col("_lookup"), _slot(item, slots)), item)
 
@@ -167,18 +169,19 @@ def lookup_list(
         found = F.transform(items, lambda x: F.coalesce(probe(x), default))
         return mapped.withColumn(out, found).drop("_lookup", *spent)
 
-    mapped = mapped.withColumn("_items", items).withColumn("_found", F.transform("_items", probe))
-    paired = F.zip_with(
-        "_items", "_found", lambda item, hit: F.struct(item.alias("item"), hit.alias("hit"))
+    probed = F.transform(items, lambda x: F.struct(x.alias("item"), probe(x).alias("hit")))
+    mapped = mapped.withColumn("_probed", probed).drop("_lookup", *spent)
+    absent = F.transform(
+        "_probed", lambda r, i: F.when(r["hit"].isNull(), F.struct(i.alias("pos"), r["item"].alias("item")))
     )
-    placed = F.transform(
-        paired, lambda x, i: F.struct(i.alias("pos"), x["item"].alias("item"), x["hit"].alias("hit"))
-    )
-    missed = F.transform(
-        F.filter(placed, lambda r: r["hit"].isNull()), lambda r: F.struct(r["pos"], r["item"])
+    mapped = mapped.withColumns(
+        {
+            "_found": F.col("_probed.hit"),
+            "_row": F.monotonically_increasing_id(),
+            "_missed": F.filter(absent, lambda r: r.isNotNull()),
+        }
     )
-    mapped = mapped.withColumns({"_row": F.monotonically_increasing_id(), "_missed": missed})
-    written = materialize(mapped.drop("_lookup", "_items", *spent), "probed")
+    written = materialize(mapped.drop("_probed"), "probed")
     whole = F.coalesce(F.size("_missed"), F.lit(0)) == 0
 
     # Too large to broadcast, whatever an estimate says: merge join. A frequent item that
@@ -194,20 +197,26 @@ def lookup_list(
         F.transform("_found", lambda x, i: F.struct(i.alias("pos"), x.alias("hit"))),
         lambda r: r["hit"].isNotNull(),
     )
-    merged = F.transform(F.array_sort(F.concat(known, F.col("_late"))), lambda r: r["hit"])
+    merged = F.transform(F.sort_array(F.concat(known, F.col("_late"))), lambda r: r["hit"])
     columns = [c for c in df.columns if c != out and c not in spent]
     complete = written.where(whole).select(*columns, F.col("_found").alias(out))
     mended = written.where(~whole).drop("_missed").join(late, "_row").select(*columns, merged.alias(out))
     return complete.unionByName(mended)
 
 
+def _cut(items: Column, max_len: int | None, bos_id: int | None = None, eos_id: int | None = None) -> Column:
+    """What ``max_len`` leaves of a text's tokens or ids, beside its special ids."""
+    if max_len is None:
+        return items
+    room = max(max_len - (bos_id is not None) - (eos_id is not None), 0)
+    return F.slice(items, 1, room)
+
+
 def _wrap_and_cut(
     ids: Column, max_len: int | None, bos_id: int | None, eos_id: int | None
 ) -> Column:
     extra = [F.array(F.lit(i).cast("bigint")) if i is not None else None for i in (bos_id, eos_id)]
-    if max_len is not None:
-        room = max(max_len - sum(e is not None for e in extra), 0)
-        ids = F.slice(ids, 1, room)
+    ids = _cut(ids, max_len, bos_id, eos_id)
     parts = [p for p in (extra[0], ids, extra[1]) if p is not None]
     return F.concat(*parts) if len(parts) > 1 else ids
 
@@ -228,12 +237,14 @@ def encode(
     """Add the token ids of a text column, optionally cut to ``max_len``.
 
     The text is cut up as ``build_vocab`` does it, with the same special tokens by default.
-    ``tokenizer`` (see ``token_udf``) replaces the learnt vocabulary.
+    ``tokenizer`` (see ``token_udf``) replaces the learnt vocabulary. Tokens that ``max_len``
+    cuts off are not looked up.
     """
     if tokenizer is not None:
         df = df.withColumn(out, tokenizer(F.col(column)).cast("array<bigint>"))
     else:
         words = tokens(F.col(column), mode, special_names() if specials is None else specials)
+        words = _cut(words, max_len, bos_id, eos_id)
         unknown = F.lit(unk_id).cast("bigint")
         df = lookup_list(df, words, vocab, "token", "id", out, unknown)
     return df.withColumn(out, _wrap_and_cut(F.col(out), max_len, bos_id, eos_id))
@@ -267,21 +278,25 @@ def _encode_columns(
     unk_id: int = UNK_ID,
     specials: Sequence[str] | None = None,
     tokenizer: Callable[[Column], Column] | None = None,
+    cut: Callable[[Column], Column] = lambda items: items,
 ) -> DataFrame:
-    """Add the ids of several texts through one lookup of all their tokens, cut apart again by size."""
+    """Add the ids of several texts through one lookup of all their tokens, cut apart again by size.
+
+    ``cut`` drops tokens whose ids the caller would drop anyway.
+    """
     if tokenizer is not None:
         return df.withColumns({out: tokenizer(text).cast("array<bigint>") for out, text in texts.items()})
     names = special_names() if specials is None else specials
-    df = df.withColumn("_lists", F.array(*[tokens(text, mode, names) for text in texts.values()]))
+    df = df.withColumn("_lists", F.array(*[cut(tokens(text, mode, names)) for text in texts.values()]))
     df = df.withColumn("_sizes", F.transform("_lists", lambda x: F.when(x.isNotNull(), F.size(x))))
     items = F.flatten(F.transform("_lists", lambda x: F.coalesce(x, F.array().cast("array<string>"))))
     df = lookup_list(df, items, vocab, "token", "id", "_ids", F.lit(unk_id).cast("bigint"), spent=["_lists"])
-    start, cut = F.lit(1), {}
+    start, parts = F.lit(1), {}
     for i, out in enumerate(texts):
         size = F.get("_sizes", F.lit(i))
-        cut[out] = F.slice("_ids", start, size)
+        parts[out] = F.slice("_ids", start, size)
         start = start + F.coalesce(size, F.lit(0))
-    return df.withColumns(cut).drop("_ids", "_sizes")
+    return df.withColumns(parts).drop("_ids", "_sizes")
 
 
 def sft_encode(
@@ -301,7 +316,8 @@ def sft_encode(
     ``max_len``; pad ids do not count.
     """
     full = F.concat(F.col(source), F.col(target))
-    df = _encode_columns(df, {"input_ids": full, "_source_ids": F.col(source)}, vocab, **options)
+    texts = {"input_ids": full, "_source_ids": F.col(source)}
+    df = _encode_columns(df, texts, vocab, cut=lambda items: _cut(items, max_len, bos_id, eos_id), **options)
     for out in ("input_ids", "_source_ids"):
         df = df.withColumn(out, _wrap_and_cut(F.col(out), max_len, bos_id, eos_id))
     length = F.size(F.filter("_source_ids", lambda x: x != F.lit(pad_id)))
@@ -320,7 +336,8 @@ def sft_encode_concat(
     **options: object,
 ) -> DataFrame:
     """Encode source and target apart, the target without special ids, and join the ids."""
-    df = _encode_columns(df, {"_s": F.col(source), "_t": F.col(target)}, vocab, **options)
+    texts = {"_s": F.col(source), "_t": F.col(target)}
+    df = _encode_columns(df, texts, vocab, cut=lambda items: _cut(items, max_len), **options)
     df = df.withColumn("_s", _wrap_and_cut(F.col("_s"), None, bos_id, eos_id))
     hidden = F.array_repeat(F.lit(IGNORE_INDEX).cast("bigint"), F.size("_s"))
     return df.withColumns(

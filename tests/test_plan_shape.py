@@ -52,6 +52,20 @@ def test_encode_is_narrow(docs):
     assert "FileScan" in main and "Exchange" not in main and not any(p in main for p in PYTHON)
 
 
+def test_lookup_and_split_points_are_no_columns(docs, monkeypatch):
+    """As columns they would be copied into every row; cut off tokens are not probed at all."""
+    vocab, written = K.build_vocab(docs, "text"), []
+    monkeypatch.setattr(K, "HEAD_ENTRIES", 8)
+    monkeypatch.setattr(K, "materialize", lambda df, label: written.append(df) or df)
+    K.encode(docs, "text", vocab, max_len=3)
+    assert len(written) == 1 and "AS _lookup" not in plan_of(written[0])
+    assert written[0].agg(F.max(F.size("_found"))).first()[0] == 3
+    written.clear()
+    K.sft_encode(docs.withColumn("answer", F.lit(" x x")), "text", "answer", vocab, 3)
+    assert written[0].agg(F.max(F.size("_found"))).first()[0] == 6
+    assert "AS _points" not in plan_of(O.positions(docs, "id", bucket_rows=50))
+
+
 def test_packing_moves_each_row_once(docs):
     ids = docs.select("id", F.array(F.col("id"), F.col("id")).alias("ids"))
     plan = main_plan(P.pack_blocks(ids, "ids", 4, "id", 10, bucket_rows=40))
